@@ -3,9 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import chat, packing, secrets
-from tessera.llm.runtime import read
+from tessera.llm import chat, line_dedup, packing, secrets, sharding
+from tessera.llm.runtime import fresh_path, read
+
+
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its shard after compaction, and the shard's size in rows."""
+    store = sharding.ShardStore(spark, fresh_path(spark, "shards"), target_bytes=32 << 20)
+    store.append(read(spark, sf_dir, "documents"))
+    version = store.compact()
+    rows = store.read(version)
+    return rows.select("doc_id", F.crc32("text").alias("text_crc32"), "shard", F.lit(version).alias("version"))
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +41,8 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op3_lines": op3_lines,
+        "op4_sharding": op4_sharding,
         "op8_secrets": op8_secrets,
         "op9_packing": op9_packing,
         "op10_chat": op10_chat,
@@ -34,6 +50,28 @@ def queries() -> dict:
 
 
 ORACLES: dict[str, str] = {
+    "op3_lines": """
+        WITH split AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+        lines AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM split),
+        three AS (
+            SELECT doc_id, pos, line, lead(line) OVER w AS line2, lead(line, 2) OVER w AS line3
+            FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+        ),
+        ranked AS (
+            SELECT doc_id, pos, row_number() OVER (PARTITION BY line, line2, line3 ORDER BY doc_id, pos) AS n
+            FROM three
+            WHERE line3 IS NOT NULL AND NOT (trim(line, ' ') = '' AND trim(line2, ' ') = '' AND trim(line3, ' ') = '')
+        ),
+        gone AS (SELECT DISTINCT doc_id, unnest([pos, pos + 1, pos + 2]) AS pos FROM ranked WHERE n > 1),
+        kept AS (
+            SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) AS text, count(*) AS n
+            FROM lines l ANTI JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id
+        )
+        SELECT s.doc_id,
+            CASE WHEN s.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text,
+            CASE WHEN s.text IS NULL THEN 0 ELSE len(s.ls) - coalesce(k.n, 0) END AS n_removed
+        FROM split s LEFT JOIN kept k ON s.doc_id = k.doc_id
+    """,
     "op10_chat": r"""
         WITH turns AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
