@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, line_dedup, packing, secrets, sharding
+from tessera.llm import chat, line_dedup, packing, quality, secrets, sharding
 from tessera.llm.runtime import fresh_path, read
 
 
@@ -22,6 +22,12 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.crc32("text").alias("text_crc32"), "shard", F.lit(version).alias("version"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = quality.fold(5) == 0
+    scores = quality.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), ~held_out)
+    return quality.decided(scores, held_out)
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digests(secrets.scan_secrets(read(spark, sf_dir, "documents")))
 
@@ -43,6 +49,7 @@ def queries() -> dict:
     return {
         "op3_lines": op3_lines,
         "op4_sharding": op4_sharding,
+        "op5_quality": op5_quality,
         "op8_secrets": op8_secrets,
         "op9_packing": op9_packing,
         "op10_chat": op10_chat,
