@@ -20,6 +20,7 @@ are encoded as the tokenizer does.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,28 +32,57 @@ from pyspark.sql import functions as F
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-class WordCache:
+class WordCache(dict):
     """Encodes texts with a tokenizer whose pre-tokens never span blanks.
 
     The ids of a blank-separated part do not depend on its neighbours, so each
-    distinct part is encoded once and kept as little-endian 32-bit ids.  The
-    cache is emptied when it holds ``most`` parts.
+    distinct part (UTF-8, A-Z as a-z, which this vocabulary does not tell
+    apart) is encoded once and kept as little-endian 32-bit ids.  A comma or
+    full stop after a letter is a pre-token of its own, so such a part is the
+    ids without it and those of the sign.  Texts that might hold special tokens
+    go to the tokenizer whole.  Plain words go to its merge model directly if
+    that gives the same ids on some probe words.  The cache is emptied when it holds ``most`` parts.
     """
 
-    def __init__(self, tokenizer, most: int = 300_000) -> None:
-        self.tokenizer, self.most, self.known = tokenizer, most, {"": b""}
+    #: Words that normalising only puts into small letters: a-z and the letters U+00C0 to U+00FF.
+    PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+    PROBES = ("the", "thingouion", "été", "Übergröße", "éeaux", "Ñandú", "ÿþð", "a", "é")
+
+    def __init__(self, tokenizer, most: int = 1_200_000) -> None:
+        super().__init__({b"": b""})
+        self.tokenizer, self.most = tokenizer, most
+        # byte-level models see a printable byte as itself and the others from U+0100 on
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        hidden = [b for b in range(256) if b not in shown]
+        self.shown_as = {b: chr(256 + i) for i, b in enumerate(hidden)} | {b: chr(b) for b in shown}
+        self.model = tokenizer.model
+        self.direct = all(self._word_ids(w.encode().lower()) == self._ids(w) for w in self.PROBES)
+
+    def _word_ids(self, word: bytes) -> bytes:
+        """Ids of a plain word straight from the merge model."""
+        small = word if word.isascii() else word.decode().lower().encode()
+        return np.array([t.id for t in self.model.tokenize(small.decode("latin-1").translate(self.shown_as))], dtype="<u4").tobytes()
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def __missing__(self, part: bytes) -> bytes:
+        if part[-1:] in (b",", b".") and part[-2:-1].isalpha():
+            ids = self[part[:-1]] + self[part[-1:]]
+        elif self.direct and self.PLAIN.fullmatch(part):
+            ids = self._word_ids(part)
+        else:
+            ids = self._ids(part.decode())
+        self[part] = ids
+        return ids
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.most:
-            self.known = {"": b""}
-        known = self.known
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*split).difference(known)) if split else []
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            for word, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[word] = np.array(got.ids, dtype="<u4").tobytes()
-        return [b"".join(map(known.__getitem__, parts)) for parts in split]
+    def encode(self, text: bytes) -> bytes:
+        if b"<|" in text:
+            return self._ids(text.decode())
+        if len(self) > self.most:
+            self.clear()
+            self[b""] = b""
+        return b"".join(map(self.__getitem__, text.lower().replace(b"\n", b" ").split(b" ")))
 
 
 class SumOfSquares:
@@ -188,9 +218,9 @@ def _packed(batches: Iterable[pa.RecordBatch], seq_len: int, end_id: int, path:
     for batch in batches:
         ids_of, texts = batch.column(0), batch.column(1)
         for lo in range(0, batch.num_rows, 256):
-            part = texts.slice(lo, 256).fill_null("").to_pylist()
-            for doc, ids in zip(ids_of.slice(lo, 256).to_pylist(), cache.encode(part), strict=True):
-                ids += end
+            part = texts.slice(lo, 256).fill_null("").cast(pa.large_binary()).to_pylist()
+            for doc, text in zip(ids_of.slice(lo, 256).to_pylist(), part, strict=True):
+                ids = cache.encode(text) + end
                 names[serial], totals[serial] = doc, len(ids) // 4
                 closed(packer.add(serial, ids))
                 serial += 1
