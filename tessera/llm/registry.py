@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, line_dedup, packing, quality, secrets, sharding
+from tessera.llm import chat, line_dedup, packing, quality, secrets, sharding, toxicity
 from tessera.llm.runtime import fresh_path, read
 
 
@@ -28,6 +28,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.decided(scores, held_out)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = quality.fold(4) == 2
+    scores = toxicity.score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), ~held_out)
+    return quality.decided(scores, held_out)
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digests(secrets.scan_secrets(read(spark, sf_dir, "documents")))
 
@@ -50,6 +56,7 @@ def queries() -> dict:
         "op3_lines": op3_lines,
         "op4_sharding": op4_sharding,
         "op5_quality": op5_quality,
+        "op6_toxicity": op6_toxicity,
         "op8_secrets": op8_secrets,
         "op9_packing": op9_packing,
         "op10_chat": op10_chat,
