@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, line_dedup, packing, quality, secrets, sharding, toxicity
+from tessera.llm import chat, decontam, line_dedup, packing, quality, secrets, sharding, toxicity
 from tessera.llm.runtime import fresh_path, read
 
 
+def op1_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -53,6 +57,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_decontam": op1_decontam,
         "op3_lines": op3_lines,
         "op4_sharding": op4_sharding,
         "op5_quality": op5_quality,
