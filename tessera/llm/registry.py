@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontam, line_dedup, packing, quality, secrets, sharding, toxicity
+from tessera.llm import chat, decontam, line_dedup, minhash, packing, quality, secrets, sharding, toxicity
 from tessera.llm.runtime import fresh_path, read
 
 
@@ -38,6 +38,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.decided(scores, held_out)
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), minhash.Params(words=3, percent=85, half=3, m=8))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digests(secrets.scan_secrets(read(spark, sf_dir, "documents")))
 
@@ -62,6 +66,7 @@ def queries() -> dict:
         "op4_sharding": op4_sharding,
         "op5_quality": op5_quality,
         "op6_toxicity": op6_toxicity,
+        "op7_minhash": op7_minhash,
         "op8_secrets": op8_secrets,
         "op9_packing": op9_packing,
         "op10_chat": op10_chat,
@@ -91,6 +96,40 @@ ORACLES: dict[str, str] = {
             CASE WHEN s.text IS NULL THEN 0 ELSE len(s.ls) - coalesce(k.n, 0) END AS n_removed
         FROM split s LEFT JOIN kept k ON s.doc_id = k.doc_id
     """,
+    "op7_minhash": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ),
+        shingled AS (
+            SELECT doc_id, list_distinct(CASE
+                WHEN len(w) = 0 THEN []
+                WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s
+            FROM words
+        ),
+        sizes AS (SELECT doc_id, len(s) AS n, list_sort(s) AS s FROM shingled),
+        classes AS (SELECT min(doc_id) AS rep, n, s FROM sizes WHERE n > 0 GROUP BY n, s),
+        items AS (SELECT rep, n, unnest(s) AS x FROM classes),
+        shared AS (
+            SELECT a.rep AS a, b.rep AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS common
+            FROM items a JOIN items b ON a.x = b.x AND a.rep < b.rep AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n
+            GROUP BY a.rep, b.rep
+        ),
+        links AS (SELECT a, b FROM shared WHERE 100 * common >= 85 * (na + nb - common)),
+        ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach(node, root) AS (
+            SELECT rep, rep FROM classes
+            UNION
+            SELECT ways.b, reach.root FROM reach JOIN ways ON reach.node = ways.a AND reach.root < ways.b
+        ),
+        roots AS (SELECT node, min(root) AS component FROM reach GROUP BY node),
+        named AS (SELECT c.n, c.s, r.component FROM classes c JOIN roots r ON c.rep = r.node)
+        SELECT z.doc_id, CAST(z.n AS BIGINT) AS n_shingles,
+            coalesce(k.component, z.doc_id) AS component_id,
+            coalesce(k.component, z.doc_id) = z.doc_id AS kept
+        FROM sizes z LEFT JOIN named k ON z.n = k.n AND z.s = k.s
+    """,
     "op10_chat": r"""
         WITH turns AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
