@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontam, line_dedup, minhash, packing, quality, secrets, sharding, toxicity
+from tessera.llm import chat, decontam, embeddings, line_dedup, minhash, packing, quality, secrets, sharding, toxicity
 from tessera.llm.runtime import fresh_path, read
 
 
@@ -13,6 +13,10 @@ def op1_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.link_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -62,6 +66,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_decontam": op1_decontam,
+        "op2_embeddings": op2_embeddings,
         "op3_lines": op3_lines,
         "op4_sharding": op4_sharding,
         "op5_quality": op5_quality,
@@ -74,6 +79,30 @@ def queries() -> dict:
 
 
 ORACLES: dict[str, str] = {
+    "op2_embeddings": """
+        WITH RECURSIVE wide AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        usable AS (
+            SELECT * FROM wide
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND e IS NOT NULL AND len(e) > 0
+                AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                AND len(list_filter(e, lambda x: x <> 0)) > 0
+        ),
+        links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b
+            FROM usable a JOIN usable b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+            WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.93
+        ),
+        reach(node, root) AS (
+            SELECT vec_id, vec_id FROM usable
+            UNION
+            SELECT links.b, reach.root FROM reach JOIN links ON reach.node = links.a AND reach.root < links.b
+        ),
+        roots AS (SELECT node, min(root) AS component FROM reach GROUP BY node),
+        numbers AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT w.vec_id, coalesce(n.n, 0) AS n_links, coalesce(r.component, w.vec_id) AS component_id,
+            coalesce(r.component, w.vec_id) = w.vec_id AS kept
+        FROM wide w LEFT JOIN roots r ON w.vec_id = r.node LEFT JOIN numbers n ON w.vec_id = n.a
+    """,
     "op3_lines": """
         WITH split AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
         lines AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM split),

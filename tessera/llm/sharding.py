@@ -149,7 +149,7 @@ class ShardStore:
         folder = f"c-{uuid.uuid4().hex}"
         names = [(live[i].name, g) for g, ids in enumerate(groups) for i in ids]
         placed = self._placed([n for n, _ in names], [(n, g) for n, g in names], GROUP)
-        placed.repartition(len(groups), GROUP).write.partitionBy(GROUP).option("compression", self.codec).parquet(f"{self.root}/data/{folder}")
+        placed.repartitionById(len(groups), F.col(GROUP)).write.partitionBy(GROUP).option("compression", self.codec).parquet(f"{self.root}/data/{folder}")
         after = self.commit(before, [*(s for i, s in enumerate(live) if i not in merged), *self._new_shards(folder)])
         for i in merged:
             self._fs.delete(self._path(f"{self.root}/data/{live[i].name}"), False)
