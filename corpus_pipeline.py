@@ -3,24 +3,57 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import packing
+from tessera.llm import decontam, line_dedup, minhash, packing, quality, toxicity
 from tessera.llm.runtime import materialise, read
 
 
-def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored 0.3 or more for toxicity go."""
+    return toxicity.drop_toxic(docs, read(spark, sf_dir, "labels"), quality.fold(4) != 2)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later occurrences of three-line windows go; a document of which nothing is left goes too."""
+    done = line_dedup.dedup_lines(docs)
+    left = done.filter((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    text_of = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return left.select(*[text_of.get(c, F.col(c)).alias(c) for c in docs.columns])
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays (five words, similarity 0.8)."""
+    found = minhash.near_duplicates(docs)
+    return docs.join(found.filter(~F.col("kept")).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    found = decontam.find_leaks(docs, read(spark, sf_dir, "benchmark"))
+    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of all documents that are left."""
     return packing.pack(docs)
 
 
-STAGES = [("packing", packed)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_lines),
+    ("near duplicates", drop_copies),
+    ("decontamination", drop_leaks),
+    ("packing", pack),
+]
 
-#: Toxicity scores come from a trained model, which SQL cannot express.
+#: Toxicity scores come from a trained model, which SQL cannot express; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token sequences of ``documents`` after all stages."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs, _ = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs, _ = materialise(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BITS = 28
 
@@ -134,3 +135,19 @@ def score(docs: DataFrame, model: Model, featurise: Featurise) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(got) if got else np.zeros(0))], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scored, "doc_id long, score double")
+
+
+def with_score(docs: DataFrame, model: Model, featurise: Featurise, column: str = "score") -> DataFrame:
+    """The rows with their score as a last column; nothing is shuffled."""
+    shipped = docs.sparkSession.sparkContext.broadcast((model.features, model.weights, model.bias))
+    names = [c for c in docs.columns if c != column]
+    at = names.index("text")
+
+    def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*shipped.value)
+        for batch in batches:
+            got = [own.scores(found, offsets) for found, offsets in featurise(batch.column(at))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(got) if got else np.zeros(0))], [*names, column])
+
+    source = docs.select(*names)
+    return source.mapInArrow(scored, T.StructType([*source.schema.fields, T.StructField(column, T.DoubleType())]))

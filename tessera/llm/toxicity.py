@@ -185,11 +185,22 @@ def make_featurise(cost: np.ndarray):
     return featurise
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", most_labelled: int = 20000) -> DataFrame:
-    """doc_id and score of every document; ``usable`` says which label rows may be learnt from."""
+def train_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", most_labelled: int = 20000):
+    """The model and its featuriser; ``usable`` says which label rows may be learnt from."""
     counts = np.zeros(SYMBOLS**3, dtype=np.int64)
     for row in char_counts(docs).collect():  # at most 28**3 rows
         counts[row["k"]] = row["n"]
     featurise = make_featurise(language_model(counts))
-    model = ftrl.fit(docs, ftrl.labelled_sample(labels, label, usable, most_labelled), featurise, epochs=3, alpha=1.0, beta=1.0, l1=2.5, l2=0.0, least_docs=3)
-    return ftrl.score(docs, model, featurise)
+    sample = ftrl.labelled_sample(labels, label, usable, most_labelled)
+    return ftrl.fit(docs, sample, featurise, epochs=3, alpha=1.0, beta=1.0, l1=2.5, l2=0.0, least_docs=3), featurise
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, **params) -> DataFrame:
+    """doc_id and score of every document."""
+    return ftrl.score(docs, *train_toxicity(docs, labels, usable, **params))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, usable: Column, threshold: float = 0.3, **params) -> DataFrame:
+    """The documents whose score is below ``threshold``, with all their columns."""
+    scored = ftrl.with_score(docs, *train_toxicity(docs, labels, usable, **params), "_toxicity")
+    return scored.filter(F.col("_toxicity") < threshold).drop("_toxicity")
