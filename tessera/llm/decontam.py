@@ -201,3 +201,22 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.08, least: int
 
     found = [one(b) for b in blocks(items, block_chars)]
     return reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], MATCHES)
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.08, least: int = 2, least_chars: int = 40, block_chars: int = 4_000_000) -> DataFrame:
+    """The documents that hold no test item, with all their columns; nothing is shuffled."""
+    spark, names = docs.sparkSession, docs.columns
+    at = names.index("text")
+
+    def one(rest: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
+        shipped = spark.sparkContext.broadcast(block)
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(shipped.value, rate, least, least_chars)
+            for batch in batches:
+                clean = [not (matcher.items and raw and matcher.matches(normalise(raw))) for raw in map(pa.Scalar.as_py, batch.column(at))]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        return rest.mapInArrow(run, rest.schema)
+
+    return reduce(one, blocks(items, block_chars), docs)
