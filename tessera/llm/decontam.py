@@ -214,7 +214,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.08, least:
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(shipped.value, rate, least, least_chars)
             for batch in batches:
-                clean = [not (matcher.items and raw and matcher.matches(normalise(raw))) for raw in map(pa.Scalar.as_py, batch.column(at))]
+                clean = [not (matcher.items and raw and matcher.matches(normalise(raw))) for raw in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         return rest.mapInArrow(run, rest.schema)
