@@ -8,6 +8,7 @@ with the logarithm of the graph.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,3 +46,28 @@ def components(edges: DataFrame) -> tuple[DataFrame, str]:
         delete(now.sparkSession, path)
         now, path = following, new_path
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")), path
+
+
+def forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Spanning forest of a bipartite link matrix, as (row, column) pairs."""
+    n, m = linked.shape
+    rows_left, cols_left = linked.any(axis=1), linked.any(axis=0)
+    across = np.ascontiguousarray(linked.T)
+    out = []
+    for root in np.flatnonzero(rows_left):
+        if not rows_left[root]:
+            continue
+        rows_left[root] = False
+        stack = [(True, root)]
+        while stack:
+            is_row, i = stack.pop()
+            if is_row:
+                new = np.flatnonzero(linked[i] & cols_left)
+                cols_left[new] = False
+                out += [(i, j) for j in new]
+            else:
+                new = np.flatnonzero(across[i] & rows_left)
+                rows_left[new] = False
+                out += [(j, i) for j in new]
+            stack += [(not is_row, j) for j in new]
+    return out

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.components import components
+from tessera.llm.components import components, forest
 from tessera.llm.runtime import delete, materialise
 
 
@@ -85,31 +85,6 @@ def visits(x: np.ndarray, c: np.ndarray, cosine: float) -> tuple[np.ndarray, np.
     return home, row, cell
 
 
-def forest(linked: np.ndarray) -> list[tuple[int, int]]:
-    """Spanning forest of a bipartite link matrix, as (row, column) pairs."""
-    n, m = linked.shape
-    rows_left, cols_left = linked.any(axis=1), linked.any(axis=0)
-    across = np.ascontiguousarray(linked.T)
-    out = []
-    for root in np.flatnonzero(rows_left):
-        if not rows_left[root]:
-            continue
-        rows_left[root] = False
-        stack = [(True, root)]
-        while stack:
-            is_row, i = stack.pop()
-            if is_row:
-                new = np.flatnonzero(linked[i] & cols_left)
-                cols_left[new] = False
-                out += [(i, j) for j in new]
-            else:
-                new = np.flatnonzero(across[i] & rows_left)
-                rows_left[new] = False
-                out += [(j, i) for j in new]
-            stack += [(not is_row, j) for j in new]
-    return out
-
-
 def _classes(vectors: DataFrame) -> DataFrame:
     """Classes of equal usable vectors: label, size, h1, h2, rep, copies, embedding."""
     value = F.col("embedding")

@@ -11,8 +11,8 @@ its members with its least member (a star) on the full sets.  Buckets that
 still hold more than one component go on: Jaccard distance is a metric, so two
 members can be linked only if their distances to the centre differ by at most
 1 - threshold; buckets are split into such rings, and what spans one component
-is done.  Small rests compare members of different components directly, larger
-ones take their next centre.  This goes on until no bucket is open: no pair of
+is done.  Where the pairs across components are few for the bucket's size they
+are all compared, else the bucket takes its next centre.  This goes on until no bucket is open: no pair of
 a bucket that could join two components is left out, and no bucket is capped.
 
 Defined results: null and empty texts and texts without words have an empty
@@ -32,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.components import components
+from tessera.llm.components import components, forest
 from tessera.llm.runtime import delete, materialise
 from tessera.llm.textkit import WordHasher, chunks, distinct_sets, mix, seeds, shingles, string_buffers
 
-SMALL = 16  # members that a bucket may have to be compared directly
+BLOCK, COLUMNS = 512, 4096  # documents of a block, and shingles of one matrix product
+PARTNERS = 32  # a bucket is compared directly if its members have at most so many partners each, on average
 
 
 @dataclass(frozen=True)
@@ -135,53 +136,84 @@ def _with_component(members: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _open(members: DataFrame) -> DataFrame:
-    """Members of buckets that span more than one component, with the bucket's least member and size."""
-    stats = members.groupBy("key").agg(F.min("rep").alias("centre"), F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    return members.join(stats.filter("lo < hi").select("key", "centre", "size"), "key")
+    """Members of buckets that span more than one component, with the bucket's least member.
+
+    ``direct``: the pairs across components are few for the bucket's size, so
+    that comparing them all is in proportion to the members.
+    """
+    by_component = members.groupBy("key", "component").agg(F.count("*").alias("c"), F.min("rep").alias("least"))
+    stats = by_component.groupBy("key").agg(
+        F.min("least").alias("centre"), F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("same"), F.count("*").alias("parts")
+    )
+    direct = (F.col("size") * F.col("size") - F.col("same")) / 2 <= PARTNERS * F.col("size")
+    return members.join(stats.filter("parts > 1").select("key", "centre", direct.alias("direct")), "key")
+
+
+def compare_blocks(members: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
+    """a, b: a spanning forest of all links within the clumps of (rep, clump).
+
+    A clump's members are dealt to blocks of bounded size; each pair of blocks
+    is one task that counts common shingles by matrix products over a bounded
+    number of shingles at a time.
+    """
+    blocks = members.groupBy("clump").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
+    own = members.join(blocks, "clump").withColumn("k", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
+    k = F.col("k")
+    tasks = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: F.struct(F.least(k, j).alias("i"), F.greatest(k, j).alias("j")))
+    dealt = own.withColumn("t", F.explode(tasks)).select("rep", "clump", "k", "t.i", "t.j").join(sets, "rep")
+
+    def run(key, table):
+        table = table.combine_chunks()
+        column = table.column("s").combine_chunks()
+        ids, side = table.column("rep").to_numpy(), table.column("k").to_numpy() != key[1].as_py()
+        n = np.diff(np.asarray(column.offsets))
+        rows = np.repeat(np.arange(len(ids)), n)
+        shared, at, count = np.unique(np.asarray(column.flatten()), return_inverse=True, return_counts=True)
+        keep = count[at] > 1  # a shingle of one document alone is common to none
+        rows, at = rows[keep], at[keep]
+        order = np.argsort(at, kind="stable")
+        rows, at = rows[order], at[order]
+        first = np.cumsum(np.concatenate([[0], at[1:] != at[:-1]])) if len(at) else at
+        a, b = (np.flatnonzero(~side), np.flatnonzero(side)) if side.any() else (np.arange(len(ids)),) * 2
+        common = np.zeros((len(a), len(b)), dtype=np.float32)
+        for lo in range(0, int(first[-1]) + 1 if len(first) else 0, COLUMNS):
+            part = slice(np.searchsorted(first, lo), np.searchsorted(first, lo + COLUMNS))
+            dense = np.zeros((len(ids), COLUMNS), dtype=np.float32)
+            dense[rows[part], first[part] - lo] = 1
+            common += dense[a] @ dense[b].T
+        linked = 100 * common.astype(np.int64) >= p.percent * (n[a][:, None] + n[b][None] - common.astype(np.int64))
+        linked &= ids[a][:, None] != ids[b][None]
+        tree = np.array(forest(linked), dtype=np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(ids[a][tree[:, 0]], pa.int64()), "b": pa.array(ids[b][tree[:, 1]], pa.int64())})
+
+    return dealt.groupBy("clump", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def link_classes(members: DataFrame, sets: DataFrame, p: Params) -> tuple[DataFrame, str]:
     """(node, component) of the classes that have links."""
     spark = members.sparkSession
     width = 1 - p.percent / 100
-    state, state_path = materialise(members.withColumn("component", F.col("rep")), "members")
-    known, known_paths = None, []
-    found, found_path = None, None
-    while True:
-        opened, opened_path = materialise(_open(state), "open")
-        star = opened.filter((F.col("size") > SMALL) & (F.col("component") != F.col("centre")) & (F.col("rep") != F.col("centre")))
-        pairs = star.select(F.col("centre").alias("a"), F.col("rep").alias("b"))
-        small = opened.filter(F.col("size") <= SMALL)
-        if known is None:  # a first star everywhere leaves few components
-            pairs = pairs.unionAll(small.filter(F.col("rep") != F.col("centre")).select(F.col("centre").alias("a"), F.col("rep").alias("b")))
-        else:
-            x, y = small.alias("x"), small.alias("y")
-            direct = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")))
-            pairs = pairs.unionAll(direct.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")))
-        pairs = pairs.distinct()
-        if known is not None:
-            pairs = pairs.join(known, ["a", "b"], "left_anti")
-        checked, checked_path = materialise(verify(pairs, sets, p), "verified")
-        first = known is None
-        known_paths.append(checked_path)
-        known = spark.read.schema(checked.schema).parquet(*known_paths)
-        if found_path:
-            delete(spark, found_path)
-        found, found_path = components(known.filter("link").select("a", "b"))
-        # what stays open: small buckets are settled unless this was the first star
-        rest = opened.drop("component") if first else opened.filter(F.col("size") > SMALL).drop("component")
-        rest = rest.filter(F.col("rep") != F.col("centre"))
-        to_centre = known.select(F.col("a").alias("centre"), F.col("b").alias("rep"), "dist")
-        ringed = rest.join(to_centre, ["centre", "rep"], "left").withColumn("ring", F.floor(F.col("dist") / width).cast("int"))
-        # a member that shared the centre's component was not compared: it stays in every ring
-        rings = F.when(F.col("ring").isNull(), F.sequence(F.lit(-1), F.lit(int(1 / width) + 1))).otherwise(F.array(F.col("ring") - 1, F.col("ring")))
-        parted = ringed.select("rep", "key", F.explode(rings).alias("r")).select("rep", F.xxhash64("key", "r").alias("key"))
-        following, new_path = materialise(_open(_with_component(parted, found)).drop("centre", "size"), "members")
-        delete(spark, state_path, opened_path)
-        state, state_path = following, new_path
-        if state.isEmpty():
-            break
-    delete(spark, state_path, *known_paths)
+    centres = members.groupBy("key").agg(F.min("rep").alias("centre"))
+    star, star_path = materialise(members.join(centres, "key").filter(F.col("rep") != F.col("centre")), "stars")
+    checked, checked_path = materialise(verify(star.select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), sets, p), "verified")
+    found, found_path = components(checked.filter("link").select("a", "b"))
+    # all pairs with a centre are settled; the others of a bucket can link only within a ring or to the next
+    to_centre = checked.select(F.col("a").alias("centre"), F.col("b").alias("rep"), F.floor(F.col("dist") / width).cast("int").alias("ring"))
+    ringed = star.join(to_centre, ["centre", "rep"])
+    parted = ringed.select("rep", "key", F.explode(F.array(F.col("ring") - 1, F.col("ring"))).alias("r")).select("rep", F.xxhash64("key", "r").alias("key"))
+    opened, opened_path = materialise(_open(_with_component(parted, found)), "open")
+    few = opened.filter("direct")
+    x, y = few.alias("x"), few.alias("y")
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")))
+    pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(checked, ["a", "b"], "left_anti")
+    direct = verify(pairs, sets, p).filter("link").select("a", "b")
+    many = opened.filter("not direct and rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
+    clumps, clumps_path = components(many)
+    blocks = compare_blocks(clumps.select(F.col("node").alias("rep"), F.col("component").alias("clump")).unionAll(clumps.select("component", "component").distinct()), sets, p)
+    delete(spark, found_path)
+    links, links_path = materialise(checked.filter("link").select("a", "b").unionAll(direct).unionAll(blocks), "links")
+    found, found_path = components(links)
+    delete(spark, star_path, checked_path, opened_path, clumps_path, links_path)
     return found, found_path
 
 
