@@ -832,7 +832,7 @@ def r_sample(s, d):
 """)
 def r_nibbles(s, d):
     """Values of four-bit floats."""
-    return s.range(16).select(F.col("id").alias("code"), numeric.nibble_values(F.col("id").cast("int")).alias("val"))
+    return s.range(16).select(F.col("id").alias("code"), (numeric.nibble_values(F.col("id").cast("int")) + 0.0).alias("val"))
 
 
 # ---- extras: what Spark adds
