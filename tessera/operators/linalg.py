@@ -72,7 +72,7 @@ def singular_values(matrix: DataFrame, *by: str) -> DataFrame:
 
     g = gram(matrix, *by)
     fields = [f"{c} {dict(g.dtypes)[c]}" for c in by] + ["sigma double"]
-    return (g.groupBy(*by) if by else g.groupBy(F.lit(0))).applyInPandas(spectrum, ", ".join(fields))
+    return g.groupBy(*by).applyInPandas(spectrum, ", ".join(fields))
 
 
 def cholesky(covariance: DataFrame, *by: str) -> DataFrame:
@@ -89,7 +89,7 @@ def cholesky(covariance: DataFrame, *by: str) -> DataFrame:
         return pd.DataFrame({**{c: pdf[c].iloc[0] for c in by}, "row": i, "col": j, "val": low[i, j]})
 
     fields = [f"{c} {dict(covariance.dtypes)[c]}" for c in by] + ["row long, col long, val double"]
-    return (covariance.groupBy(*by) if by else covariance.groupBy(F.lit(0))).applyInPandas(factor, ", ".join(fields))
+    return covariance.groupBy(*by).applyInPandas(factor, ", ".join(fields))
 
 
 def reconstruction_error(factor: DataFrame, covariance: DataFrame) -> DataFrame:
