@@ -6,6 +6,7 @@ import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import dtypes, names
@@ -103,7 +104,7 @@ def compare_models(spark: SparkSession, original: str, compared: str, compat: bo
         "tensors": compare.compare_tensors(a, b),
         "shapes": compare.compare_values(a, b, "shape"),
         "dtypes": compare.compare_values(a, b, "dtype"),
-        "sharding": compare.compare_sharding(a.withColumn("shard", F.element_at(F.split("path", "/"), -1)), b.withColumn("shard", F.element_at(F.split("path", "/"), -1)), size="bytes"),
+        "sharding": compare.compare_sharding(*[x.withColumn("shard", F.dense_rank().over(W.orderBy("path"))) for x in (a, b)], size="bytes"),  # metadata of one model
     }
     sizes = [x.agg(F.countDistinct("path").alias(f"files_{k}"), F.count("*").alias(f"count_{k}")) for k, x in (("a", a), ("b", b))]
     row = sizes[0].crossJoin(sizes[1])

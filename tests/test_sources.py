@@ -107,3 +107,73 @@ def test_running_statistics_over_micro_batches(spark, tmp_path):
     query = incremental.append_to(incremental.file_stream(spark, source, "g long, x double, t timestamp"), str(tmp_path / "out"), str(tmp_path / "state"))
     query.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 30 and os.path.isdir(tmp_path / "state")
+
+
+def test_remote_headers_with_cache(spark, folder, tmp_path):
+    import http.server
+    import threading
+
+    from tessera.sources import remote
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            raw = (folder / self.path.strip("/")).read_bytes()
+            asked = self.headers.get("Range")
+            if not asked or self.path.startswith("/b"):  # b ignores ranges
+                self.send_response(200)
+                self.end_headers()
+                self.wfile.write(raw)
+                return
+            lo, hi = map(int, asked.removeprefix("bytes=").split("-"))
+            self.send_response(206)
+            self.send_header("Content-Range", f"bytes {lo}-{hi}/{len(raw)}")
+            self.end_headers()
+            self.wfile.write(raw[lo : hi + 1])
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    spark.dataSource.register(remote.RemoteSafetensors)
+    reader = spark.read.format("safetensors_http").option("cache", str(tmp_path / "cache"))
+    rows = reader.load(f"{base}/a.safetensors,{base}/d.safetensors").collect()
+    assert sorted(r["name"] for r in rows) == ["bias", "weight", "weight"]
+    assert not remote.supports_ranges(f"{base}/b.safetensors") and remote.supports_ranges(f"{base}/a.safetensors")
+    server.shutdown()
+    cache = remote.Cache(str(tmp_path / "cache"))
+    assert remote.remote_header(f"{base}/a.safetensors", cache)["file_size"] == rows[0]["file_size"]
+    assert cache.drop(f"{base}/a.safetensors") and not cache.drop(f"{base}/a.safetensors")
+
+
+def test_profiles_and_manifests(spark, tmp_path):
+    from tessera.sources import profiles
+
+    (tmp_path / "p.json").write_text(json.dumps({"name": "x", "outlier_config": {"probability": 1.5, "severity_factor": 2.0}, "low_rank_config": {"rank_ratio": 0.5}}))
+    assert [r["problem"] for r in profiles.statistical_problems(profiles.statistical_profiles(spark, str(tmp_path / "p.json"))).collect()] == ["outlier_config.probability is not in [0, 1]"]
+    (tmp_path / "m.json").write_text(json.dumps({"model_type": "t", "hidden_size": 10, "num_attention_heads": 3, "num_hidden_layers": 1, "vocab_size": 5, "tensor_patterns": ["a"]}))
+    assert [r["problem"] for r in profiles.model_problems(profiles.model_profiles(spark, str(tmp_path / "m.json"), "t")).collect()] == ["heads do not divide hidden_size"]
+    plan = models.catalog.blueprint(spark, 1, 32, 4, 4, 64, 100)
+    text = profiles.manifest_json(plan, "m", 1, "v").first()["json"]
+    (tmp_path / "f.json").write_text(text)
+    back = profiles.read_json(spark, str(tmp_path / "f.json"), profiles.MANIFEST)
+    assert profiles.manifest_problems(back).count() == 0 and profiles.manifest_rows(back).count() == 12
+    chunks = spark.createDataFrame([(0, 0, 5), (1, 5, 9), (2, 10, 12)], "chunk_id long, start long, end long")
+    assert [r["problem"] for r in profiles.chunk_problems(chunks, 12).collect()] == ["gap or overlap"]
+    fields = spark.createDataFrame([("a", "Unknown", "Exact"), ("b", "Observed", "Exact")], "name string, origin string, confidence string")
+    assert profiles.origin_problems(fields).count() == 1
+
+
+def test_reports(spark, folder):
+    from tessera.operators import reports, validate
+
+    c = models.catalogue(spark, str(folder))
+    text = reports.inspection_text(models.catalog.structure(c), models.catalog.physical(c)).first()["text"]
+    assert "tensors: 7" in text
+    issues = spark.createDataFrame([("OUTLIER", "ERROR", "m", "p"), ("OUTLIER", "INFO", "n", "q")], "category string, severity string, message string, path string")
+    report = reports.validation_text(issues, score=True).first()["text"]
+    assert report.startswith("Validation\ninvalid: 2 issues") and report.index("[ERROR]") < report.index("[INFO]")
+    row = models.compare_models(spark, str(folder / "a.safetensors"), str(folder / "b.safetensors"))
+    assert "status: MATCH" in reports.comparison_text(row).first()["text"] and "percent" in reports.comparison_json(row).first()["json"]
+    assert validate.tally(issues).first()["valid"] is False and reports.first_tensors(c, 3).count() == 3
