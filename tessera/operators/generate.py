@@ -62,21 +62,26 @@ def chunk_table(tensors: DataFrame, chunk: int, model: str, version: str, seed:
     )
 
 
-def stream_values(chunks: DataFrame, kind: str = "normal", p1: float = 0.0, p2: float = 1.0, tasks: int | None = None) -> DataFrame:
-    """name, chunk_id, idx, val for each chunk; ``kind`` is normal (mean, std) or uniform (low, high)."""
+def stream_arrays(chunks: DataFrame, kind: str = "normal", p1: float = 0.0, p2: float = 1.0) -> DataFrame:
+    """name, chunk_id, start, vals (one array a chunk); ``kind`` is normal (mean, std) or uniform (low, high)."""
 
     def make(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for lo in range(0, len(pdf), 64):
-                part = pdf.iloc[lo : lo + 64]
+            for lo in range(0, len(pdf), 16):  # so many streams advance together
+                part = pdf.iloc[lo : lo + 16]
                 most = int(part["n"].max())
                 streams = ShiftRegister([bytes.fromhex(s) for s in part["seed"]])
                 x = p1 + p2 * streams.normals(most) if kind == "normal" else p1 + (p2 - p1) * streams.uniforms(most)
-                for row, values in zip(part.itertuples(), x):
-                    yield pd.DataFrame({"name": row.name, "chunk_id": row.chunk_id, "idx": row.start + np.arange(row.n), "val": values[: row.n]})
+                yield pd.DataFrame({"name": part["name"], "chunk_id": part["chunk_id"], "start": part["start"], "vals": [v[:n] for v, n in zip(x, part["n"])]})
+
+    return chunks.mapInPandas(make, "name string, chunk_id long, start long, vals array<double>")
 
-    dealt = chunks.repartition(tasks) if tasks else chunks
-    return dealt.mapInPandas(make, "name string, chunk_id long, idx long, val double")
+
+def stream_values(chunks: DataFrame, kind: str = "normal", p1: float = 0.0, p2: float = 1.0, tasks: int | None = None) -> DataFrame:
+    """name, chunk_id, idx, val of each chunk's elements."""
+    arrays = stream_arrays(chunks.repartition(tasks) if tasks else chunks, kind, p1, p2)
+    rows = arrays.select("name", "chunk_id", "start", F.posexplode("vals").alias("i", "val"))
+    return rows.select("name", "chunk_id", (F.col("start") + F.col("i")).alias("idx"), "val")
 
 
 def counter_uniform(seed: int, *key: Column | str) -> Column:

@@ -15,18 +15,40 @@ def ecdf_at(df: DataFrame, column: str, x: float, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.coalesce(F.avg((v <= x).cast("double")), F.lit(0.0)).alias("share"))
 
 
+def value_bucket(x: Column, bits: int = 12) -> Column:
+    """A whole number that rises with ``x``: its sign, power of two and leading mantissa bits.
+
+    It depends on the value alone, so that long orders can be cut into many
+    tasks without sampling and alike in every run.
+    """
+    size = F.abs(x)
+    power = F.floor(F.log2(F.when(size > 0, size)))
+    step = power * (1 << bits) + F.floor(size / F.pow(F.lit(2.0), power) * (1 << bits)) - (1 << bits) + (1 << (bits + 11))
+    return F.when(size == 0, 0).when(x < 0, -step).otherwise(step).cast("bigint")
+
+
+def with_offsets(counted: DataFrame, number: Column, *by: str) -> DataFrame:
+    """Adds to rows with ``_bucket`` the sum of ``number`` in lower buckets (``_offset``) and in all (``n``) of their group."""
+    sums = counted.groupBy(*by, "_bucket").agg(F.sum(number).alias("_s"))
+    keys = list(by) or [F.lit(1)]
+    below = F.sum("_s").over(W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1))
+    total = F.sum("_s").over(W.partitionBy(*keys))
+    offsets = sums.select(*by, "_bucket", F.coalesce(below, F.lit(0)).alias("_offset"), total.alias("n"))
+    return counted.join(offsets, [*by, "_bucket"])
+
+
 def ranked_counts(df: DataFrame, column: str, *by: str) -> DataFrame:
     """Distinct values with the numbers of smaller values (``before``) and of values up to them (``upto``).
 
-    Values are counted before they are ordered, so a window sorts distinct
-    values, not rows.
+    Values are counted before they are ordered, and a group's order is cut
+    into buckets of near values, so that a task sorts one bucket's distinct
+    values and never a whole group.
     """
     v = F.col(column).cast("double")
     counted = df.filter(v.isNotNull() & ~F.isnan(v)).groupBy(*by, v.alias("x")).agg(F.count("*").alias("c"))
-    keys = list(by) or [F.lit(1)]
-    upto = F.sum("c").over(W.partitionBy(*keys).orderBy("x").rowsBetween(W.unboundedPreceding, 0))
-    total = F.sum("c").over(W.partitionBy(*keys))
-    return counted.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("c")).withColumn("n", total)
+    placed = with_offsets(counted.withColumn("_bucket", value_bucket(F.col("x"))), F.col("c"), *by)
+    upto = F.sum("c").over(W.partitionBy(*by, "_bucket").orderBy("x").rowsBetween(W.unboundedPreceding, 0)) + F.col("_offset")
+    return placed.select(*by, "x", "c", upto.alias("upto"), (upto - F.col("c")).alias("before"), "n")
 
 
 def ks(ranked: DataFrame, cdf: Column, *by: str, compat: bool = False) -> DataFrame:
@@ -83,16 +105,15 @@ def fit_student_t(df: DataFrame, column: str, *by: str) -> DataFrame:
 def fit_weibull(df: DataFrame, column: str, *by: str, compat: bool = False) -> DataFrame:
     """Shape and scale by regression of ln(-ln(1 - p)) on ln x over the ranks of positive values.
 
-    Equal values share one ln x, and the regression needs sums over ranks, so
-    every rank counts: rows are ordered within their group.
+    The regression needs every rank, so rows are ordered within buckets of
+    near values.
     """
     x = F.col(column).cast("double")
-    keys = list(by) or [F.lit(1)]
-    rows = df.filter(x > 0).select(*by, x.alias("_x"))
-    rank = F.row_number().over(W.partitionBy(*keys).orderBy("_x"))
-    total = F.count("*").over(W.partitionBy(*keys))
-    p = (rank - 0.5) / total
-    points = rows.select(*by, F.log("_x").alias("_lx"), F.log(-F.log(1 - p)).alias("_ly"))
+    rows = df.filter((x > 0) & (x < float("inf"))).select(*by, x.alias("_x"), value_bucket(x).alias("_bucket"))
+    placed = with_offsets(rows, F.lit(1), *by)
+    rank = F.row_number().over(W.partitionBy(*by, "_bucket").orderBy("_x")) + F.col("_offset")
+    p = (rank - 0.5) / F.col("n")
+    points = placed.select(*by, F.log("_x").alias("_lx"), F.log(-F.log(1 - p)).alias("_ly"))
     spread = F.var_pop("_lx")
     slope = F.when(spread > 1e-10, F.try_divide(F.covar_pop("_lx", "_ly"), spread)).otherwise(1.0)
     got = points.groupBy(*by).agg(slope.alias("_s"), F.avg("_lx").alias("_mx"), F.avg("_ly").alias("_my"))
@@ -149,11 +170,15 @@ def effective_rank(energies: DataFrame, threshold: float, *by: str, strict: bool
     return energies.groupBy(*by).agg(F.coalesce(F.min(F.when(hit, F.col("rank"))), F.max("rank")).alias("effective_rank"))
 
 
-def capped_hits(df: DataFrame, hit: Column, index: str, cap: Column, *by: str) -> DataFrame:
-    """Marks the first ``cap`` rows that hit, in order of ``index``."""
+def capped_hits(df: DataFrame, hit: Column, index: str, cap: int, *by: str) -> DataFrame:
+    """The first ``cap`` rows that hit, in order of ``index``.
+
+    Rows that miss are left out first, and each task keeps no more than
+    ``cap`` rows a group before the shuffle.
+    """
     keys = list(by) or [F.lit(1)]
-    number = F.sum(hit.cast("int")).over(W.partitionBy(*keys).orderBy(index).rowsBetween(W.unboundedPreceding, 0))
-    return df.withColumn("chosen", hit & (number <= cap))
+    number = F.row_number().over(W.partitionBy(*keys).orderBy(index))
+    return df.filter(hit).withColumn("_k", number).filter(F.col("_k") <= cap).drop("_k")
 
 
 def chunk_ranges(spark, total: int, size: int) -> DataFrame:

@@ -118,11 +118,11 @@ def compare_models(spark: SparkSession, original: str, compared: str, compat: bo
 
 
 def tensor_payloads(spark: SparkSession, plan: DataFrame, seed: int, version: str = "v1", model: str = "model", chunk: int = 1 << 16) -> DataFrame:
-    """name, dtype, shape, payload of a catalogue filled with seeded normals of deviation 0.02."""
+    """name, dtype, shape, chunk_id, payload of a catalogue filled with seeded normals of deviation 0.02; one row a chunk."""
     sized = plan.withColumn("elements", dtypes.num_elements(F.col("shape")).cast("bigint"))
-    values = values_of.stream_values(values_of.chunk_table(sized.select("name", "layer", "elements"), chunk, model, version, seed), "normal", 0.0, 0.02)
-    arrays = values.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("idx", "val"))).alias("v"))
-    return sized.join(arrays, "name").select("name", "dtype", "shape", numeric.encode_values(F.col("v.val"), F.col("dtype")).alias("payload"))
+    arrays = values_of.stream_arrays(values_of.chunk_table(sized.select("name", "layer", "elements"), chunk, model, version, seed), "normal", 0.0, 0.02)
+    joined = arrays.join(sized.select("name", "dtype", "shape"), "name")
+    return joined.select("name", "dtype", "shape", "chunk_id", numeric.encode_values(F.col("vals"), F.col("dtype")).alias("payload"))
 
 
 def generate_model(spark: SparkSession, path: str, plan: DataFrame, seed: int, shard_bytes: int = 1 << 30) -> None:
@@ -131,8 +131,9 @@ def generate_model(spark: SparkSession, path: str, plan: DataFrame, seed: int, s
     sized = plan.withColumn("bytes", dtypes.byte_size(F.col("shape"), F.col("dtype")).cast("bigint"))
     placed = catalog.shard_plan(sized, shard_bytes).select("name", F.col("shard").alias("_shard"))
     shards = placed.agg(F.max("_shard")).first()[0]
-    rows = tensor_payloads(spark, plan, seed).join(placed, "name").repartitionById(int(shards), (F.col("_shard") - 1).cast("int")).sortWithinPartitions("name")
-    rows.select("name", "dtype", "shape", "payload").write.format("safetensors").mode("overwrite").save(path)
+    rows = tensor_payloads(spark, plan, seed).join(placed, "name").repartitionById(int(shards), (F.col("_shard") - 1).cast("int"))
+    ordered = rows.sortWithinPartitions("name", "chunk_id").select("name", "dtype", "shape", "payload")
+    ordered.write.format("safetensors").mode("overwrite").save(path)
 
 
 def generate(spark: SparkSession, path: str, layers: int, hidden: int, heads: int, intermediate: int, vocab: int, seed: int) -> None:

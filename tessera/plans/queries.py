@@ -253,8 +253,8 @@ def g_super_weights(s, d):
     m = e.agg(F.avg("value").alias("mu"), F.stddev_pop("value").alias("sd"))
     j = e.crossJoin(F.broadcast(m))
     hit = F.abs(F.col("value") - F.col("mu")) > 1.5 * F.col("sd")
-    chosen = ordered.capped_hits(j, hit, "event_id", F.lit(5), "event_type").filter("chosen")
-    return generate.super_weights(chosen, F.col("chosen"), 10.0, "value").select("event_id", F.round("value", 6).alias("value"))
+    chosen = ordered.capped_hits(j, hit, "event_id", 5, "event_type")
+    return generate.super_weights(chosen, F.lit(True), 10.0, "value").select("event_id", F.round("value", 6).alias("value"))
 
 
 @query("SELECT i AS chunk_id, i * 300 AS start, least((i + 1) * 300, 1000) AS \"end\" FROM range(4) t(i)")

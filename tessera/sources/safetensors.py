@@ -13,6 +13,7 @@ import json
 import math
 import os
 import re
+import shutil
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -173,20 +174,25 @@ class ValueReader(DataSourceReader):
             )
 
 
-def file_bytes(tensors: list[tuple[str, str, list[int], bytes]]) -> bytes:
-    """A tensor file of (name, dtype, shape, payload); the header comes first and is padded with blanks to eight bytes."""
+def header_bytes(tensors: list[tuple[str, str, list[int], int]]) -> bytes:
+    """Length field and header of (name, dtype, shape, payload bytes) in order of place, padded with blanks to eight bytes."""
     header, at = {}, 0
-    for name, dtype, shape, raw in tensors:
+    for name, dtype, shape, size in tensors:
         if name in header:
             raise FormatError(f"repeated name {name}")
-        size = DTYPES[dtype][0]
-        if size and len(raw) != math.prod(shape) * size:
-            raise FormatError(f"{name}: {len(raw)} bytes do not fit its shape")
-        header[name] = {"dtype": dtype, "shape": list(shape), "data_offsets": [at, at + len(raw)]}
-        at += len(raw)
+        each = DTYPES[dtype][0]
+        if each and size != math.prod(shape) * each:
+            raise FormatError(f"{name}: {size} bytes do not fit its shape")
+        header[name] = {"dtype": dtype, "shape": list(shape), "data_offsets": [at, at + size]}
+        at += size
     text = json.dumps(dict(sorted(header.items())), separators=(",", ":")).encode()
     text += b" " * (-len(text) % 8)
-    return struct.pack("<Q", len(text)) + text + b"".join(raw for *_, raw in tensors)
+    return struct.pack("<Q", len(text)) + text
+
+
+def file_bytes(tensors: list[tuple[str, str, list[int], bytes]]) -> bytes:
+    """A whole tensor file; the header comes first."""
+    return header_bytes([(n, t, s, len(raw)) for n, t, s, raw in tensors]) + b"".join(raw for *_, raw in tensors)
 
 
 @dataclass
@@ -197,7 +203,11 @@ class Written(WriterCommitMessage):
 
 
 class FileWriter(DataSourceWriter):
-    """Rows (name, dtype, shape, payload): each task writes one shard, and the commit names and indexes them."""
+    """Rows (name, dtype, shape, payload): each task writes one shard, and the commit names and indexes them.
+
+    A tensor may come in several rows one after the other; no more than a row
+    is held in memory.
+    """
 
     def __init__(self, options: dict, overwrite: bool) -> None:
         self.path, self.overwrite = options["path"], overwrite
@@ -206,13 +216,23 @@ class FileWriter(DataSourceWriter):
         from pyspark import TaskContext
 
         os.makedirs(self.path, exist_ok=True)
-        rows = [(r["name"], r["dtype"], list(r["shape"]), bytes(r["payload"])) for r in iterator]
         context = TaskContext.get()
         temporary = os.path.join(self.path, f".part-{context.partitionId()}-{context.taskAttemptId()}")
-        if rows:
-            with open(temporary, "wb") as f:
-                f.write(file_bytes(rows))
-        return Written(temporary, [r[0] for r in rows], sum(len(r[3]) for r in rows))
+        tensors: list[list] = []
+        with open(temporary + ".body", "wb") as body:
+            for r in iterator:
+                raw = bytes(r["payload"])
+                if tensors and tensors[-1][0] == r["name"]:
+                    tensors[-1][3] += len(raw)
+                else:
+                    tensors.append([r["name"], r["dtype"], list(r["shape"]), len(raw)])
+                body.write(raw)
+        if tensors:
+            with open(temporary, "wb") as f, open(temporary + ".body", "rb") as body:
+                f.write(header_bytes([tuple(t) for t in tensors]))
+                shutil.copyfileobj(body, f, 1 << 20)
+        os.remove(temporary + ".body")
+        return Written(temporary, [t[0] for t in tensors], sum(t[3] for t in tensors))
 
     def commit(self, messages) -> None:
         done = [m for m in messages if m is not None and m.names]

@@ -67,9 +67,9 @@ def test_bad_entries_are_skipped_or_rejected(spark, tmp_path):
 
 def test_round_trip_of_values(spark, tmp_path):
     x = np.arange(12, dtype="<f4")
-    rows = [("t1", "F32", [3, 4], bytearray(x.tobytes())), ("t2", "I8", [2], bytearray(b"\x01\xff"))]
+    rows = [("t1", "F32", [3, 4], bytearray(x.tobytes()[:20])), ("t1", "F32", [3, 4], bytearray(x.tobytes()[20:])), ("t2", "I8", [2], bytearray(b"\x01\xff"))]
     st.register(spark)
-    df = spark.createDataFrame(rows, "name string, dtype string, shape array<long>, payload binary").repartition(2)
+    df = spark.createDataFrame(rows, "name string, dtype string, shape array<long>, payload binary").coalesce(1)
     df.write.format("safetensors").mode("overwrite").save(str(tmp_path / "m"))
     values = spark.read.format("safetensors_values").option("chunk", 5).load(str(tmp_path / "m"))
     got = {n: [r["val"] for r in values.filter(values.name == n).orderBy("idx").collect()] for n in ("t1", "t2")}
