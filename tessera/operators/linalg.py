@@ -1,7 +1,8 @@
 """Matrices as long tables (row, col, val) (inventory E17, E18, F24, F25, J1-J20).
 
-Products and Gram matrices are joins and sums; spectra of the small Gram
-matrix use numpy on one group each.
+Products are joins and sums.  Moments of column pairs are matrix products of
+each task's rows, merged by sums; spectra of the small Gram matrix use numpy on
+one group each.
 """
 
 from __future__ import annotations
@@ -9,31 +10,121 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def gram(matrix: DataFrame, *by: str) -> DataFrame:
-    """A'A: by, i, j (i <= j), val.
+def _wide(matrix: DataFrame, *by: str) -> DataFrame:
+    """One row for each matrix row: by, cols, vals (arrays in order of col; nulls left out)."""
+    rows = matrix.filter("val is not null").groupBy(*by, "row").agg(F.sort_array(F.collect_list(F.struct("col", "val"))).alias("v"))
+    return rows.select(*by, F.col("v.col").cast("array<long>").alias("cols"), F.col("v.val").cast("array<double>").alias("vals"))
+
+
+class _Moments:
+    """Sums over the rows of one group for all pairs of columns, as matrix products.
+
+    Values are taken from the first value seen in their column, so that sums
+    of squares stay exact where means are large.
+    """
 
-    Each row's values are gathered into one array (as wide as the matrix), so
-    a row yields its pairs by itself and no self-join is needed.
+    def __init__(self) -> None:
+        self.place: dict[int, int] = {}
+        self.base = np.zeros(0)
+        self.n = self.sx = self.sxx = self.sxy = np.zeros((0, 0))
+
+    def _grow(self, cols: np.ndarray, vals: np.ndarray) -> None:
+        new, first = np.unique(cols, return_index=True)
+        fresh = [(int(c), float(vals[i])) for c, i in zip(new, first) if int(c) not in self.place]
+        if fresh:
+            for c, v in fresh:
+                self.place[c] = len(self.place)
+            self.base = np.concatenate([self.base, [v for _, v in fresh]])
+            d, old = len(self.place), len(self.n)
+            for k in ("n", "sx", "sxx", "sxy"):
+                m = np.zeros((d, d))
+                m[:old, :old] = getattr(self, k)
+                setattr(self, k, m)
+
+    def add(self, rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, n_rows: int) -> None:
+        self._grow(cols, vals)
+        at = np.array([self.place[int(c)] for c in cols], dtype=int)
+        x, have = np.zeros((n_rows, len(self.place))), np.zeros((n_rows, len(self.place)))
+        x[rows, at] = vals - self.base[at]
+        have[rows, at] = 1
+        self.n += have.T @ have
+        self.sx += x.T @ have  # sum of the first column's values where both are there
+        self.sxx += (x * x).T @ have
+        self.sxy += x.T @ x
+
+    def rows(self) -> pd.DataFrame:
+        """i, j (i <= j), n, means and centred sums of both columns."""
+        cols = np.array(list(self.place))
+        i, j = np.nonzero((cols[:, None] <= cols[None]) & (self.n > 0))
+        n, sx, sy = self.n[i, j], self.sx[i, j], self.sx[j, i]
+        return pd.DataFrame(
+            {
+                "i": cols[i], "j": cols[j], "n": n, "mx": sx / n + self.base[i], "my": sy / n + self.base[j],
+                "cxx": self.sxx[i, j] - sx * sx / n, "cyy": self.sxx[j, i] - sy * sy / n, "cxy": self.sxy[i, j] - sx * sy / n,
+            }
+        )
+
+
+def pair_moments(matrix: DataFrame, *by: str, groups: int = 64) -> DataFrame:
+    """by, i, j (i <= j), n, mx, my, cxx, cyy, cxy: moments of all pairs of columns over the rows that have both.
+
+    Each task adds up its rows by matrix products and gives one row a pair;
+    parts are merged with the formula for pooled moments.  ``groups`` bounds
+    the groups that a task holds at a time.
     """
-    rows = matrix.groupBy(*by, "row").agg(F.sort_array(F.collect_list(F.struct("col", "val"))).alias("v"))
-    pairs = F.flatten(
-        F.transform("v", lambda a: F.transform(F.filter("v", lambda b: b["col"] >= a["col"]), lambda b: F.struct(a["col"].alias("i"), b["col"].alias("j"), (a["val"] * b["val"]).alias("p"))))
+    wide = _wide(matrix, *by)
+    kinds = dict(wide.dtypes)
+
+    def run(batches):
+        held: dict[tuple, _Moments] = {}
+
+        def out(key, m):
+            return m.rows().assign(**dict(zip(by, key)))[[*by, "i", "j", "n", "mx", "my", "cxx", "cyy", "cxy"]]
+
+        for pdf in batches:
+            parts = pdf.groupby(list(by), dropna=False, sort=False) if by else [((), pdf)]
+            for key, part in parts:
+                key = key if isinstance(key, tuple) else (key,)
+                size = part["cols"].map(len).to_numpy()
+                held.setdefault(key, _Moments()).add(np.repeat(np.arange(len(part)), size), np.concatenate(part["cols"].to_numpy()), np.concatenate(part["vals"].to_numpy()), len(part))
+                if len(held) > groups:
+                    first = next(iter(held))
+                    yield out(first, held.pop(first))
+        for key, m in held.items():
+            yield out(key, m)
+
+    fields = [f"{c} {kinds[c]}" for c in by] + ["i long, j long, n double, mx double, my double, cxx double, cyy double, cxy double"]
+    parts = wide.mapInPandas(run, ", ".join(fields))
+    pair = W.partitionBy(*by, "i", "j")  # one row a task and pair
+
+    def pooled(mean: str) -> Column:
+        return F.sum(F.col("n") * F.col(mean)).over(pair) / F.sum("n").over(pair)
+
+    around = parts.withColumn("_x", pooled("mx")).withColumn("_y", pooled("my"))
+
+    def total(own: str, a: str, b: str) -> Column:
+        gaps = {"mx": F.col("mx") - F.col("_x"), "my": F.col("my") - F.col("_y")}
+        return F.sum(F.col(own) + F.col("n") * gaps[a] * gaps[b]).alias(own)
+
+    return around.groupBy(*by, "i", "j").agg(
+        F.sum("n").cast("bigint").alias("n"), F.max("_x").alias("mx"), F.max("_y").alias("my"), total("cxx", "mx", "mx"), total("cyy", "my", "my"), total("cxy", "mx", "my")
     )
-    return rows.select(*by, F.explode(pairs).alias("x")).groupBy(*by, "x.i", "x.j").agg(F.sum("x.p").alias("val"))
+
+
+def gram(matrix: DataFrame, *by: str) -> DataFrame:
+    """A'A: by, i, j (i <= j), val."""
+    return pair_moments(matrix, *by).select(*by, "i", "j", (F.col("cxy") + F.col("n") * F.col("mx") * F.col("my")).alias("val"))
 
 
 def correlation_matrix(matrix: DataFrame, *by: str) -> DataFrame:
-    """by, i, j (i <= j), n, corr of the columns of complete rows; null when a column hardly varies."""
-    rows = matrix.groupBy(*by, "row").agg(F.sort_array(F.collect_list(F.struct("col", "val"))).alias("v"))
-    pairs = F.flatten(
-        F.transform("v", lambda a: F.transform(F.filter("v", lambda b: b["col"] >= a["col"]), lambda b: F.struct(a["col"].alias("i"), b["col"].alias("j"), a["val"].alias("x"), b["val"].alias("y"))))
-    )
-    long = rows.select(*by, F.explode(pairs).alias("p")).select(*by, "p.*")
-    scale = F.stddev_pop("x") * F.stddev_pop("y")
-    return long.groupBy(*by, "i", "j").agg(F.count("*").alias("n"), F.when(scale >= 1e-10, F.try_divide(F.covar_pop("x", "y"), scale)).alias("corr"))
+    """by, i, j (i <= j), n, corr of the columns over common rows; null when a column hardly varies."""
+    m = pair_moments(matrix, *by)
+    scale = F.sqrt(F.greatest("cxx", F.lit(0.0)) / F.col("n")) * F.sqrt(F.greatest("cyy", F.lit(0.0)) / F.col("n"))
+    return m.select(*by, "i", "j", "n", F.when(scale >= 1e-10, F.try_divide(F.col("cxy") / F.col("n"), scale)).alias("corr"))
 
 
 def off_diagonal(correlations: DataFrame, *by: str) -> DataFrame:
