@@ -214,7 +214,10 @@ def without_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.08, least:
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(shipped.value, rate, least, least_chars)
             for batch in batches:
-                clean = [not (matcher.items and raw and matcher.matches(normalise(raw))) for raw in batch.column(at).to_pylist()]
+                clean = []
+                for lo in range(0, batch.num_rows, 256):  # few texts are unpacked at a time
+                    part = batch.column(at).slice(lo, 256).to_pylist()
+                    clean += [not (matcher.items and raw and matcher.matches(normalise(raw))) for raw in part]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         return rest.mapInArrow(run, rest.schema)

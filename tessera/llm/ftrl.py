@@ -58,7 +58,7 @@ def train(docs: list[np.ndarray], labels: np.ndarray, epochs: int, alpha: float,
     ids = []
     for d in docs:
         at = np.minimum(np.searchsorted(names, d), len(names) - 1)
-        ids.append(at[names[at] == d])
+        ids.append(at[names[at] == d].astype(np.int32))
     z, n = np.zeros(len(names)), np.zeros(len(names))
     zb, nb = 0.0, 0.0
     for _ in range(epochs):
@@ -101,7 +101,7 @@ def fit(docs: DataFrame, sample: DataFrame, featurise: Featurise, **params) -> M
                 n = len(offsets) - 1
                 part = batch.slice(at, n)
                 at += n
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found, pa.int64()))
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], ["doc_id", "y", "f"])
 
     def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +109,7 @@ def fit(docs: DataFrame, sample: DataFrame, featurise: Featurise, **params) -> M
         for batch in batches:
             ids += batch.column(0).to_pylist()
             ys += batch.column(1).to_pylist()
-            rows += [np.asarray(x.values) for x in batch.column(2)]
+            rows += [np.asarray(x.values, dtype=np.int32) for x in batch.column(2)]
         order = np.random.default_rng(7).permutation(len(ids))[np.argsort(np.argsort(np.array(ids, dtype=np.int64), kind="stable"))] if ids else []
         order = np.argsort(order, kind="stable")
         model = train([rows[i] for i in order], np.array([ys[i] for i in order], dtype=float), **params)
@@ -119,7 +119,7 @@ def fit(docs: DataFrame, sample: DataFrame, featurise: Featurise, **params) -> M
         )
 
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text")
-    rows = chosen.mapInArrow(features, "doc_id long, y int, f array<long>").repartition(1)
+    rows = chosen.mapInArrow(features, "doc_id long, y int, f array<int>").repartition(1)
     got = rows.mapInArrow(learn, "features array<long>, weights array<double>, bias double").collect()
     return Model(np.array(got[0]["features"], dtype=np.int64), np.array(got[0]["weights"]), got[0]["bias"]) if got else train([], np.zeros(0), 0, 1, 1, 1, 1, 1)
 

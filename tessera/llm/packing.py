@@ -41,16 +41,19 @@ class WordCache(dict):
     full stop after a letter is a pre-token of its own, so such a part is the
     ids without it and those of the sign.  Texts that might hold special tokens
     go to the tokenizer whole.  Plain words go to its merge model directly if
-    that gives the same ids on some probe words.  The cache is emptied when it holds ``most`` parts.
+    that gives the same ids on some probe words.  Parts
+    are kept for two generations of ``most`` each: those not met for a whole
+    generation go.
     """
 
     #: Words that normalising only puts into small letters: a-z and the letters U+00C0 to U+00FF.
     PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
     PROBES = ("the", "thingouion", "été", "Übergröße", "éeaux", "Ñandú", "ÿþð", "a", "é")
 
-    def __init__(self, tokenizer, most: int = 1_200_000) -> None:
+    def __init__(self, tokenizer, most: int = 200_000) -> None:
         super().__init__({b"": b""})
         self.tokenizer, self.most = tokenizer, most
+        self.older: dict[bytes, bytes] = {}
         # byte-level models see a printable byte as itself and the others from U+0100 on
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         hidden = [b for b in range(256) if b not in shown]
@@ -67,7 +70,9 @@ class WordCache(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def __missing__(self, part: bytes) -> bytes:
-        if part[-1:] in (b",", b".") and part[-2:-1].isalpha():
+        if (ids := self.older.get(part)) is not None:
+            pass
+        elif part[-1:] in (b",", b".") and part[-2:-1].isalpha():
             ids = self[part[:-1]] + self[part[-1:]]
         elif self.direct and self.PLAIN.fullmatch(part):
             ids = self._word_ids(part)
@@ -80,6 +85,7 @@ class WordCache(dict):
         if b"<|" in text:
             return self._ids(text.decode())
         if len(self) > self.most:
+            self.older = dict(self)
             self.clear()
             self[b""] = b""
         return b"".join(map(self.__getitem__, text.lower().replace(b"\n", b" ").split(b" ")))

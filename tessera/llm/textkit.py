@@ -13,7 +13,7 @@ import pyarrow as pa
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x5851F42D4C957F2D  # odd, hence invertible modulo 2**64
-_CHUNK = 1 << 20
+_CHUNK = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
