@@ -37,7 +37,7 @@ from tessera.llm.runtime import delete, materialise
 from tessera.llm.textkit import WordHasher, chunks, distinct_sets, mix, seeds, shingles, string_buffers
 
 BLOCK, COLUMNS = 512, 4096  # documents of a block, and shingles of one matrix product
-PARTNERS = 32  # a bucket is compared directly if its members have at most so many partners each, on average
+PARTNERS = 2  # a bucket is compared directly if its members have at most so many partners each, on average
 
 
 @dataclass(frozen=True)
