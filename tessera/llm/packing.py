@@ -50,7 +50,7 @@ class WordCache(dict):
     PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
     PROBES = ("the", "thingouion", "été", "Übergröße", "éeaux", "Ñandú", "ÿþð", "a", "é")
 
-    def __init__(self, tokenizer, most: int = 200_000) -> None:
+    def __init__(self, tokenizer, most: int = 400_000) -> None:
         super().__init__({b"": b""})
         self.tokenizer, self.most = tokenizer, most
         self.older: dict[bytes, bytes] = {}

@@ -78,7 +78,42 @@ def queries() -> dict:
     }
 
 
+def _parts_sql(kind: str, pattern: str, group: int) -> str:
+    """Matches of one kind with start, end and the length of a group."""
+    re = pattern.replace("'", "''")
+    return f"""
+        SELECT row, doc_id, '{kind}' AS kind,
+            list_sum(list_transform(g[1:i + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i], lambda x: length(x))), 0) AS start,
+            length(m[i + 1]) AS size, length(v[i + 1]) AS inner_size
+        FROM (SELECT *, unnest(range(len(m))) AS i FROM (
+            SELECT row, doc_id, regexp_extract_all(t, '{re}', 0) AS m, regexp_extract_all(t, '{re}', {group}) AS v, string_split_regex(t, '{re}') AS g FROM d))"""
+
+
+_SECRETS = f"""
+    WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),
+    found AS ({" UNION ALL ".join(_parts_sql(*k) for k in (
+        ("assign", secrets.ASSIGN, 2), ("access", secrets.ACCESS, 0), ("hex", secrets.HEX, 0), ("endpoint", secrets.ENDPOINT, 2), ("ident", secrets.IDENT, 2), ("bearer", secrets.BEARER, 2)))}),
+    parts AS (
+        SELECT row, start, start + size AS stop, CASE WHEN kind = 'assign' AND inner_size < {secrets.LEAST_ASSIGN} THEN 'weak' WHEN kind = 'bearer' THEN 'weak' ELSE kind END AS kind
+        FROM found WHERE NOT (kind = 'access' AND inner_size < {secrets.LEAST_ACCESS})
+    ),
+    near AS (
+        SELECT DISTINCT a.row, a.start, a.stop, a.kind FROM parts a JOIN parts b ON a.row = b.row AND b.start - a.stop <= 256 AND a.start - b.stop <= 256 AND (a.start, a.stop, a.kind) <> (b.start, b.stop, b.kind)
+        WHERE (a.kind IN ('ident', 'endpoint') AND b.kind IN ('assign', 'hex', 'weak')) OR (a.kind = 'weak' AND b.kind IN ('access', 'ident', 'endpoint'))
+    ),
+    spans AS (
+        SELECT row, start, stop, kind, list_position({secrets.KINDS}, kind) AS rank FROM parts WHERE kind IN ('assign', 'access', 'hex')
+        UNION ALL SELECT row, start, stop, kind, list_position({secrets.KINDS}, kind) FROM near
+    )
+    SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+        sha256(coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank <= 3), '')) AS base_sha256,
+        coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop), '') AS spans
+    FROM d LEFT JOIN spans ON d.row = spans.row GROUP BY d.row, d.doc_id
+"""
+
+
 ORACLES: dict[str, str] = {
+    "op8_secrets": _SECRETS,
     "op2_embeddings": """
         WITH RECURSIVE wide AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
         usable AS (
