@@ -844,8 +844,8 @@ def x_cube(s, d):
     return rounded(_lines(s, d).cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity")), 2)
 
 
-@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+@query("SELECT CAST(epoch(time_bucket(INTERVAL '1 hour', ts)) AS BIGINT) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def x_windows(s, d):
     """Extra: tumbling event-time windows in a batch."""
     w = read(s, d, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-    return w.select(F.col("w.start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+    return w.select(F.unix_timestamp("w.start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
