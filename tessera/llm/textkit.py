@@ -97,8 +97,13 @@ class WordHasher:
         ends = np.flatnonzero(solid & (~after | cut[1:])) + 1
         total = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(self.table[data] * self.pow[:n], out=total[1:])
-        h = (total[ends] - total[starts]) * self.inv[starts]
-        return mix(h ^ ((ends - starts).astype(np.uint64) * _MULT)), starts, ends, np.searchsorted(starts, offsets)
+        self.total = total
+        return self.spans(starts, ends), starts, ends, np.searchsorted(starts, offsets)
+
+    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of byte spans of the data last given to ``words``."""
+        h = (self.total[ends] - self.total[starts]) * self.inv[starts]
+        return mix(h ^ ((ends - starts).astype(np.uint64) * _MULT))
 
 
 def shingles(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

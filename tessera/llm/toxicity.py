@@ -5,8 +5,9 @@ three times in a row, single letters with blanks or signs between them) are
 taken as the output of a noisy channel.  A lattice holds the letters that each
 sign may stand for, dropped separators and shortened repetitions; Viterbi
 search under a character trigram model finds the likeliest word.  The restored
-words join the plain words of the text, and a hashed-word logistic regression
-(FTRL) scores the whole.
+words join the plain words of the text, and a logistic regression (FTRL) over
+hashed words and beginnings of words scores the whole; beginnings carry what is
+learnt to other endings of a stem.
 
 The character model counts all letters of all documents; the counts are
 summed per trigram by Spark, so what comes to the driver is one bounded table.
@@ -28,11 +29,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import ftrl
-from tessera.llm.textkit import WordHasher, chunks, string_buffers
+from tessera.llm.textkit import WordHasher, chunks, mix, string_buffers
 
 #: What a sign may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
 SUBSTITUTED, DROPPED_LEET, DROPPED_MARK, DROPPED_GAP, SHORTENED = 1.0, 9.0, 2.0, 0.2, 1.0
+BEGINNINGS = (4, 6)  # bytes of a longer word that count as a feature of their own
 SYMBOLS = 28  # a-z, another letter, and the edge of a word
 OTHER, EDGE = 26, 27
 
@@ -153,8 +155,20 @@ def _doubtful(data: np.ndarray, letter: np.ndarray, leet: np.ndarray) -> np.ndar
     return mark
 
 
+def _word_features(hasher: WordHasher, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words and of the beginnings of longer words, with their rows."""
+    words, starts, ends, first = hasher.words(data, offsets)
+    rows = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+    found, own = [words], [rows]
+    for size in BEGINNINGS:
+        longer = ends - starts > size
+        found.append(mix(hasher.spans(starts[longer], starts[longer] + size) ^ np.uint64(size)))
+        own.append(rows[longer])
+    return np.concatenate(found), np.concatenate(own)
+
+
 def make_featurise(cost: np.ndarray):
-    """A featuriser of text columns: plain and restored words, each once."""
+    """A featuriser of text columns: plain and restored words and their beginnings, each once."""
 
     def featurise(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         hasher, restorer = WordHasher(), Restorer(cost)
@@ -173,26 +187,25 @@ def make_featurise(cost: np.ndarray):
             found = np.concatenate([[0], np.cumsum(_doubtful(part, letter, leet))])
             rows_at = np.flatnonzero(found[off[1:]] > found[off[:-1]])
             extra = [" ".join(restorer.words(part[off[r] : off[r + 1]].tobytes().decode())) for r in rows_at]
-            words, _, _, first = hasher.words(plain[part], off)
-            rows = np.repeat(np.arange(n_rows), np.diff(first))
+            words, rows = _word_features(hasher, plain[part], off)
             if any(extra):
                 more, at = string_buffers(pa.array(extra, pa.large_string()))
-                words2, _, _, first2 = hasher.words(more, at)
+                words2, rows2 = _word_features(hasher, more, at)
                 words = np.concatenate([words, words2])
-                rows = np.concatenate([rows, np.repeat(rows_at, np.diff(first2))])
+                rows = np.concatenate([rows, rows_at[rows2]])
             yield ftrl.distinct(ftrl.to_features(words), rows, n_rows)
 
     return featurise
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", most_labelled: int = 20000):
+def train_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", most_labelled: int = 12000):
     """The model and its featuriser; ``usable`` says which label rows may be learnt from."""
     counts = np.zeros(SYMBOLS**3, dtype=np.int64)
     for row in char_counts(docs).collect():  # at most 28**3 rows
         counts[row["k"]] = row["n"]
     featurise = make_featurise(language_model(counts))
     sample = ftrl.labelled_sample(labels, label, usable, most_labelled)
-    return ftrl.fit(docs, sample, featurise, epochs=3, alpha=1.0, beta=1.0, l1=2.5, l2=0.0, least_docs=3), featurise
+    return ftrl.fit(docs, sample, featurise, epochs=5, alpha=0.5, beta=1.0, l1=4.0, l2=0.0, least_docs=4), featurise
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, **params) -> DataFrame:
