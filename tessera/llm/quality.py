@@ -63,7 +63,7 @@ def featurise(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def score_quality(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality", most_labelled: int = 6000) -> DataFrame:
     """doc_id and score of every document; ``usable`` says which label rows may be learnt from."""
-    model = ftrl.fit(docs, ftrl.labelled_sample(labels, label, usable, most_labelled), featurise, epochs=2, alpha=0.1, beta=1.0, l1=1.0, l2=1.0, least_docs=3)
+    model = ftrl.fit(docs, ftrl.labelled_sample(labels, label, usable, most_labelled), featurise, epochs=3, alpha=0.5, beta=1.0, l1=4.0, l2=0.0, least_docs=4)
     return ftrl.score(docs, model, featurise)
 
 
