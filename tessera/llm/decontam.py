@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.runtime import bound_batches
+
 MATCHES = "doc_id long, item_id long, distance int, budget int, start long, end long"
 _GAP = re.compile(r"[\W_]+")
 
@@ -176,6 +178,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.08, least: int
 
     ``start`` and ``end`` are code points of the document's text.
     """
+    bound_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spark = docs.sparkSession
 
@@ -206,6 +209,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.08, least: int
 def without_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.08, least: int = 2, least_chars: int = 40, block_chars: int = 4_000_000) -> DataFrame:
     """The documents that hold no test item, with all their columns; nothing is shuffled."""
     spark, names = docs.sparkSession, docs.columns
+    bound_batches(spark)
     at = names.index("text")
 
     def one(rest: DataFrame, block: list[tuple[int, str]]) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components, forest
-from tessera.llm.runtime import delete, materialise
+from tessera.llm.runtime import bound_batches, delete, materialise
 
 
 @dataclass(frozen=True)
@@ -180,6 +180,7 @@ def compare(placed: DataFrame, p: Params) -> DataFrame:
 def link_vectors(vectors: DataFrame, p: Params = Params()) -> DataFrame:
     """vec_id, n_links, component_id and kept of every vector."""
     spark = vectors.sparkSession
+    bound_batches(spark)
     classes, _ = materialise(_classes(vectors), "classes")
     placed, placed_path = materialise(place(classes.select("label", "size", "rep", "copies", "embedding"), fit_cells(classes, p), p), "placed")
     links, _ = materialise(compare(placed, p), "links")

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.runtime import bound_batches
+
 BITS = 28
 
 
@@ -118,6 +120,7 @@ def fit(docs: DataFrame, sample: DataFrame, featurise: Featurise, **params) -> M
             ["features", "weights", "bias"],
         )
 
+    bound_batches(docs.sparkSession)
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text")
     rows = chosen.mapInArrow(features, "doc_id long, y int, f array<int>").repartition(1)
     got = rows.mapInArrow(learn, "features array<long>, weights array<double>, bias double").collect()
@@ -126,6 +129,7 @@ def fit(docs: DataFrame, sample: DataFrame, featurise: Featurise, **params) -> M
 
 def score(docs: DataFrame, model: Model, featurise: Featurise) -> DataFrame:
     """doc_id and score of every row."""
+    bound_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast((model.features, model.weights, model.bias))
 
     def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,6 +143,7 @@ def score(docs: DataFrame, model: Model, featurise: Featurise) -> DataFrame:
 
 def with_score(docs: DataFrame, model: Model, featurise: Featurise, column: str = "score") -> DataFrame:
     """The rows with their score as a last column; nothing is shuffled."""
+    bound_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast((model.features, model.weights, model.bias))
     names = [c for c in docs.columns if c != column]
     at = names.index("text")

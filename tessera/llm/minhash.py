@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components, forest
-from tessera.llm.runtime import delete, materialise
+from tessera.llm.runtime import bound_batches, delete, materialise
 from tessera.llm.textkit import WordHasher, chunks, distinct_sets, mix, seeds, shingles, string_buffers
 
 BLOCK, COLUMNS = 512, 4096  # documents of a block, and shingles of one matrix product
@@ -219,6 +219,7 @@ def link_classes(members: DataFrame, sets: DataFrame, p: Params) -> tuple[DataFr
 
 def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
+    bound_batches(docs.sparkSession)
     signed, _ = materialise(signatures(docs, p), "signatures")
     usable = signed.filter("n > 0 and doc_id is not null")
     classes, classes_path = materialise(usable.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("h").alias("h")), "classes")

@@ -21,6 +21,7 @@ are encoded as the tokenizer does.
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,6 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.runtime import bound_batches
+
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -63,8 +66,9 @@ class WordCache(dict):
 
     def _word_ids(self, word: bytes) -> bytes:
         """Ids of a plain word straight from the merge model."""
-        small = word if word.isascii() else word.decode().lower().encode()
-        return np.array([t.id for t in self.model.tokenize(small.decode("latin-1").translate(self.shown_as))], dtype="<u4").tobytes()
+        shown = word.decode() if word.isascii() else word.decode().lower().encode().decode("latin-1").translate(self.shown_as)
+        ids = [t.id for t in self.model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -235,6 +239,7 @@ def _packed(batches: Iterable[pa.RecordBatch], seq_len: int, end_id: int, path:
     closed(packer.level_out(last=True))
     if rows:
         yield out()
+    cache.older = {}  # an idle worker keeps one generation at most
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seq_len: int = 2048, end_id: int = 1, tokenizer_path: str | None = None, most_open: int = 1024) -> DataFrame:
@@ -246,6 +251,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seq_le
     """
     if seq_len < 1 or seq_len & (seq_len - 1):
         raise ValueError("seq_len must be a power of two")
+    bound_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return source.mapInArrow(lambda batches: _packed(batches, seq_len, end_id, tokenizer_path, most_open), PIECES)
 

@@ -31,6 +31,17 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/tessera/{name}-{uuid.uuid4().hex}"
 
 
+def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Lets Spark hand Python at most ``most`` bytes at a time (it may be set lower already).
+
+    Whole texts are long, and each task holds a batch on both sides of the
+    pipe, in and out.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, "67108864b").rstrip("b")) > most:
+        spark.conf.set(key, str(most))
+
+
 def delete(spark: SparkSession, *paths: str) -> None:
     """Delete shared folders through Hadoop's file system API."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import ftrl
+from tessera.llm.runtime import bound_batches
 from tessera.llm.textkit import WordHasher, chunks, mix, string_buffers
 
 #: What a sign may stand for.
@@ -64,6 +65,7 @@ def char_counts(docs: DataFrame) -> DataFrame:
         k = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], ["k", "n"])
 
+    bound_batches(docs.sparkSession)
     return docs.select("text").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
 
 
