@@ -653,7 +653,7 @@ def j_product(s, d):
 @query()
 def j_singular_values(s, d):
     """Exact singular values by label (no SQL form; tested against numpy)."""
-    return linalg.singular_values(matrix(s, d), "label")
+    return linalg.singular_values(matrix(s, d, None), "label")
 
 
 # ---- generation and transforms
