@@ -55,3 +55,15 @@ def l_mask_whole(s, d):
     """A band mask, and damped rows."""
     m = generate.apply_mask(matrix(s, d, None), generate.sparse_mask("diagonal_band", 0, 0, 3))
     return generate.damp_rows(m, 5).select("row", F.col("col").cast("bigint").alias("col"), F.round("val", 6).alias("val"))
+
+
+@query(f"""
+    WITH {WHOLE_MATRIX}, f AS (SELECT i // 64 AS row, i % 64 AS col, ((i // 64 * 7 + i % 64 * 3) % 11 - 5) / 10.0 AS val FROM range(256) t(i))
+    SELECT a.row, f.row AS col, round(0.5 * sum(a.val * f.val), 6) AS val FROM matrix a JOIN f ON a.col = f.col GROUP BY 1, 2
+""")
+def j_product_whole(s, d):
+    """Product of the whole long matrix with a fixed factor of 4 rows."""
+    i = F.col("id")
+    row, col = F.floor(i / 64), i % 64
+    factor = s.range(256).select(row.alias("row"), col.alias("col"), (((row * 7 + col * 3) % 11 - 5) / 10.0).alias("val"))
+    return linalg.product(matrix(s, d, None).select("row", "col", "val"), F.broadcast(factor), 0.5).withColumn("val", F.round("val", 6))

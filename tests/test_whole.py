@@ -53,3 +53,11 @@ def test_all_columns_are_there(spark, db):
     assert whole.QUERIES["j_correlation_whole"](spark, DATA).count() == width * (width + 1) // 2
     assert whole.QUERIES["j_gram_whole"](spark, DATA).count() == len(labels) * width * (width + 1) // 2
     assert whole.QUERIES["l_mask_whole"](spark, DATA).count() == len(vectors) * width
+
+
+def test_product_has_every_row(spark, db):
+    x = dict(db.sql("SELECT vec_id, embedding FROM embeddings").fetchall())
+    f = np.array([[((r * 7 + c * 3) % 11 - 5) / 10 for c in range(64)] for r in range(4)])
+    got = {(r["row"], r["col"]): r["val"] for r in whole.QUERIES["j_product_whole"](spark, DATA).collect()}
+    assert set(got) == {(i, k) for i in x for k in range(4)}
+    assert all(abs(got[i, k] - 0.5 * f[k] @ np.array(v, dtype=float)) < 2e-6 for i, v in x.items() for k in range(4))
