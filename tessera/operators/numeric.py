@@ -51,12 +51,26 @@ def unpack_nibbles(byte: Column) -> Column:
 
 
 def sinkhorn(matrix: DataFrame, rounds: int, *by: str) -> DataFrame:
-    """Rows and columns of positive matrices (row, col, val) are scaled in turn to add up to one."""
-    out = matrix
-    for k in range(2 * rounds):
-        side = "row" if k % 2 == 0 else "col"
-        out = out.withColumn("val", F.try_divide("val", F.sum("val").over(W.partitionBy(*by, side))))
-    return out
+    """Rows and columns of positive matrices (row, col, val) are scaled in turn to add up to one.
+
+    Only a factor for each row and each column is carried from step to step;
+    sums are aggregated before they meet the cells, so no row or column is
+    gathered in one task.
+    """
+
+    def scaled(factors: DataFrame | None, side: str, df: DataFrame) -> DataFrame:
+        if factors is None:
+            return df
+        keys = [*by, side]
+        named = factors.select(*[F.col(c).alias(f"_{c}") for c in keys], "_factor")
+        joined = df.join(named, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys])
+        return joined.withColumn("val", F.col("val") * F.col("_factor")).select(*df.columns)
+
+    row = col = None
+    for _ in range(rounds):
+        row = scaled(col, "col", matrix).groupBy(*by, "row").agg(F.try_divide(F.lit(1.0), F.sum("val")).alias("_factor"))
+        col = scaled(row, "row", matrix).groupBy(*by, "col").agg(F.try_divide(F.lit(1.0), F.sum("val")).alias("_factor"))
+    return scaled(col, "col", scaled(row, "row", matrix))
 
 
 def _encode(x: np.ndarray, dtype: str) -> bytes:

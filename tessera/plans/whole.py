@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import generate, linalg
+from tessera.operators import generate, linalg, numeric
 from tessera.plans.queries import Query, rounded
 from tessera.plans.tables import WHOLE_MATRIX, matrix
 
@@ -67,3 +67,14 @@ def j_product_whole(s, d):
     row, col = F.floor(i / 64), i % 64
     factor = s.range(256).select(row.alias("row"), col.alias("col"), (((row * 7 + col * 3) % 11 - 5) / 10.0).alias("val"))
     return linalg.product(matrix(s, d, None).select("row", "col", "val"), F.broadcast(factor), 0.5).withColumn("val", F.round("val", 6))
+
+
+@query(f"""
+    WITH {WHOLE_MATRIX}, a AS (SELECT row, col, exp(val) AS v FROM matrix),
+    b AS (SELECT row, col, v / sum(v) OVER (PARTITION BY row) AS v FROM a), c AS (SELECT row, col, v / sum(v) OVER (PARTITION BY col) AS v FROM b)
+    SELECT row, col, round(v, 6) AS val FROM c
+""")
+def r_sinkhorn_whole(s, d):
+    """One round of row and column scaling."""
+    m = matrix(s, d, None).select("row", "col", F.exp("val").alias("val"))
+    return numeric.sinkhorn(m, 1).select("row", F.col("col").cast("bigint").alias("col"), F.round("val", 6).alias("val"))

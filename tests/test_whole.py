@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__
+from tessera.operators import numeric
 from tessera.plans import queries as core
 from tessera.plans import whole
 from test_queries import DATA, TABLES, plain
@@ -61,3 +62,18 @@ def test_product_has_every_row(spark, db):
     got = {(r["row"], r["col"]): r["val"] for r in whole.QUERIES["j_product_whole"](spark, DATA).collect()}
     assert set(got) == {(i, k) for i in x for k in range(4)}
     assert all(abs(got[i, k] - 0.5 * f[k] @ np.array(v, dtype=float)) < 2e-6 for i, v in x.items() for k in range(4))
+
+
+def test_sinkhorn_scales_every_row_and_never_gathers_a_column(spark, db):
+    rows = {r[0] for r in db.sql("SELECT vec_id FROM embeddings").fetchall()}
+    df = whole.QUERIES["r_sinkhorn_whole"](spark, DATA)
+    assert "Window" not in df._jdf.queryExecution().executedPlan().toString()
+    cells = df.collect()
+    assert {r["row"] for r in cells} == rows and len(cells) == len(rows) * 64
+    x = np.random.default_rng(3).random((7, 5)) + 0.1
+    m = spark.createDataFrame([(None if g else 1, i, j, float(x[i, j]) * (1 + g)) for g in (0, 1) for i in range(7) for j in range(5)], "g int, row long, col long, val double")
+    for _ in range(3):
+        x = x / x.sum(1, keepdims=True)
+        x = x / x.sum(0, keepdims=True)
+    got = numeric.sinkhorn(m, 3, "g").collect()
+    assert len(got) == 70 and all(abs(r["val"] - x[r["row"], r["col"]]) < 1e-9 for r in got)
