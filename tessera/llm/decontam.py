@@ -14,9 +14,12 @@ The items are a given query set.  They are taken to the executors in blocks of
 at most ``block_chars`` characters, one pass over the documents for each
 block, so what is sent at once does not grow.  Documents are not shuffled.
 
-Defined results: null and empty texts match nothing; items whose normalised
-text is shorter than ``least_chars`` say nothing and are left out; null ids
-stay null; repeated documents or items are reported once each; empty tables
+Items whose normalised text is shorter than ``least_chars`` have a budget of 0:
+only their exact occurrences between word boundaries count, as a short text
+with edits, or inside of other words, says nothing.
+
+Defined results: null and empty texts match nothing; items without a letter,
+digit or mark are empty and match nothing; null ids stay null; repeated documents or items are reported once each; empty tables
 give no rows; extra columns are ignored.
 """
 
@@ -34,6 +37,8 @@ from tessera.llm.runtime import bound_batches
 
 MATCHES = "doc_id long, item_id long, distance int, budget int, start long, end long"
 _GAP = re.compile(r"[\W_]+")
+#: Letters of scripts that are written without blanks between words.
+_UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\ua4cf\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def normalise(text: str) -> str:
@@ -44,6 +49,18 @@ def budget(length: int, rate: float, least: int) -> int:
     return min(max(least, int(rate * length)), max(length - 1, 0))
 
 
+def bounded(text: str, start: int, end: int) -> bool:
+    """Whether a span of a normalised text begins and ends between words."""
+
+    def between(at: int) -> bool:
+        if not 0 < at < len(text):
+            return True
+        around = text[at - 1 : at + 1]
+        return " " in around or bool(_UNSPACED.search(around))
+
+    return between(start) and between(end)
+
+
 def pieces(text: str, k: int) -> list[tuple[int, str]]:
     """``k + 1`` disjoint pieces of almost equal length, with their places."""
     cuts = [len(text) * j // (k + 1) for j in range(k + 2)]
@@ -107,13 +124,17 @@ class Matcher:
         import ahocorasick
 
         self.items = []
+        self.short: set[int] = set()  # numbers of the items that count only between word boundaries
         self.automaton = ahocorasick.Automaton()
         found: dict[str, list[tuple[int, int]]] = {}
         for item, raw in items:
             text = normalise(raw)
-            if len(text) < least_chars:
+            if not text:
                 continue
-            k = budget(len(text), rate, least)
+            short = len(text) < least_chars
+            k = 0 if short else budget(len(text), rate, least)
+            if short:
+                self.short.add(len(self.items))
             for at, piece in pieces(text, k):
                 found.setdefault(piece, []).append((len(self.items), at))
             self.items.append((item, text, k))
@@ -133,7 +154,7 @@ class Matcher:
                     continue
                 _, item, k = self.items[number]
                 most = min(k, best[number][0] - 1) if number in best else k
-                if most < 0:
+                if most < 0 or (number in self.short and not bounded(text, begin, end)):
                     continue
                 right, used = anchored(item[at + size :], text[end : end + len(item) - at - size + most], most)
                 if right > most:

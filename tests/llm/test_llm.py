@@ -121,6 +121,22 @@ def test_leaks_planted_and_odd(spark):
     assert in_blocks.count() == 4
 
 
+def test_short_items_leak_word_for_word(spark):
+    short = "Who wrote the play about the Danish prince?"[:39].rstrip()
+    assert len(decontam.normalise(short)) < 40
+    rows = [
+        (1, f"Question: {short}  Answer: a poet"), (2, short.upper().replace(" ", "\n")), (3, f"x{short}"), (4, f"{short}s of old"), (5, short.replace("wrote", "wrate")),
+        (6, "pick 42, then go"), (7, "pick 142 or 421"), (8, "他问：中国的首都是哪里？北京"), (9, "a 42"), *ODD,
+    ]
+    items = spark.createDataFrame([(10, short), (11, "42"), (12, "中国的首都是哪里"), (13, "?!"), (14, ""), (15, None)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontam.find_leaks(docs_of(spark, rows), items).collect()}
+    assert set(got) == {(1, 10), (2, 10), (6, 11), (9, 11), (8, 12)}
+    assert all((r["distance"], r["budget"]) == (0, 0) for r in got.values())
+    assert rows[0][1][got[1, 10]["start"] : got[1, 10]["end"]] == short and rows[7][1][got[8, 12]["start"] : got[8, 12]["end"]] == "中国的首都是哪里"
+    left = [r["doc_id"] for r in decontam.without_leaks(docs_of(spark, rows), items).collect()]
+    assert Counter(left) == Counter([3, 4, 5, 7, *(i for i, _ in ODD)])
+
+
 # ---- 2 embeddings
 
 
