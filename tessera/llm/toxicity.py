@@ -1,7 +1,8 @@
 """Operator 6: toxicity with noisy-channel deobfuscation.
 
 Parts of a text that look disguised (digits or signs beside letters, letters
-three times in a row, single letters with blanks or signs between them) are
+three times in a row or doubled where words seldom double them, single letters and
+signs with blanks or other signs between them) are
 taken as the output of a noisy channel.  A lattice holds the letters that each
 sign may stand for, dropped separators and shortened repetitions; Viterbi
 search under a character trigram model finds the likeliest word.  The restored
@@ -39,10 +40,15 @@ BEGINNINGS = (4, 6)  # bytes of a longer word that count as a feature of their o
 SYMBOLS = 28  # a-z, another letter, and the edge of a word
 OTHER, EDGE = 26, 27
 
+SIGNS = re.escape("".join(LEET))
+SELDOM_DOUBLED = "ahijkquvwxy"
+
 DISGUISED = re.compile(
-    r"""(?<!\S)\S*(?:[0-9@$!|+][a-z]|[a-z](?:[0-9]|([@$])(?!\1))|([a-z])\2\2)\S*"""
-    r"""|(?<![^\W_])[a-z](?:[ ._*\-]{1,2}[a-z]){2,}(?![^\W_])""",
+    rf"""(?<!\S)\S*(?:[0-9@$!|+][a-z]|[a-z][0-9@$!|+]|([a-z])\1\1|([{SELDOM_DOUBLED}])\2|([a-z])\3([a-z])\4)\S*"""
+    rf"""|(?<![^\W_])[a-z{SIGNS}](?:[ ._*\-]{{1,2}}[a-z{SIGNS}]){{2,}}(?![^\W_])""",
 )
+_DOUBLE_SIGN = re.compile(rf"(?!!!\Z)([{SIGNS}])\1(?!\1)")
+_LITERAL = str.maketrans({c: x[0] for c, x in LEET.items()} | dict.fromkeys(" ._*-"))
 
 
 def _symbol_table() -> np.ndarray:
@@ -96,7 +102,8 @@ class Restorer:
                 out.append([(c, 0.0)] if n == 1 else [(c + c, 0.0), (c, SHORTENED)] if n == 2 else [(c, SHORTENED), (c + c, SHORTENED)])
             elif c in LEET:
                 options = [(x * k, SUBSTITUTED * k) for x in LEET[c] for k in range(1, min(n, 2) + 1)]
-                out.append([*options, ("", DROPPED_LEET if n < 3 else DROPPED_GAP)])
+                dropped = DROPPED_GAP if n >= 3 else DROPPED_MARK if c in "!|+" and run.end() == len(part) else DROPPED_LEET
+                out.append([*options, ("", dropped)])  # at a word's end such a sign may also be what it is
             else:
                 out.append([("", DROPPED_GAP if c in " ._*-" else DROPPED_MARK)])
         return out
@@ -130,8 +137,19 @@ class Restorer:
         return word
 
     def words(self, text: str) -> list[str]:
-        """Restored words of the disguised parts of a text in small letters."""
-        return [w for m in DISGUISED.finditer(text) if (w := self.restore(m[0].strip(".,;:?\"'()[]")))]
+        """Restored words of the disguised parts of a text in small letters.
+
+        Spaced parts and doubled signs are also read sign by sign, since a shorter word may be likelier.
+        """
+        found = []
+        for m in DISGUISED.finditer(text):
+            part = m[0].strip(".,;:?\"'()[]")
+            if not any("a" <= c <= "z" for c in part):
+                continue
+            literal = _DOUBLE_SIGN.search(part) or part[1:2] in tuple(" ._*-")
+            words = [self.restore(part), part.translate(_LITERAL) if literal else ""]
+            found += [w for w in dict.fromkeys(words) if w]
+        return found
 
 
 def _doubtful(data: np.ndarray, letter: np.ndarray, leet: np.ndarray) -> np.ndarray:
@@ -139,14 +157,17 @@ def _doubtful(data: np.ndarray, letter: np.ndarray, leet: np.ndarray) -> np.ndar
     mark = np.zeros(len(data), dtype=bool)
     if len(data) > 4:
         is_letter, is_leet = letter[data], leet[data]
-        single = is_leet[:-1] & (data[:-1] != data[1:])
+        is_digit = (data >= 48) & (data <= 57)
         mark[:-1] |= is_leet[:-1] & is_letter[1:]
-        mark[:-2] |= is_letter[:-2] & single[1:]
-        mark[:-1] |= is_letter[:-1] & is_leet[1:] & (data[1:] >= 48) & (data[1:] <= 57)
-        mark[:-2] |= is_letter[:-2] & (data[:-2] == data[1:-1]) & (data[1:-1] == data[2:])
-        lone = is_letter.copy()
-        lone[1:] &= ~is_letter[:-1]
-        lone[:-1] &= ~is_letter[1:]
+        mark[:-1] |= is_letter[:-1] & (is_leet[1:] | is_digit[1:])
+        double = is_letter[:-1] & (data[:-1] == data[1:])
+        mark[:-1] |= double & np.isin(data[:-1], np.frombuffer(SELDOM_DOUBLED.encode(), dtype=np.uint8))
+        mark[:-2] |= double[:-1] & double[1:]
+        mark[:-3] |= double[:-2] & double[2:]
+        lone = is_letter | is_leet
+        solid = is_letter | is_digit
+        lone[1:] &= ~solid[:-1]
+        lone[:-1] &= ~solid[1:]
         near = lone.copy()
         near[:-2] &= lone[2:]
         near[:-3] |= lone[:-3] & lone[3:]

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -274,6 +275,43 @@ def test_lattice_and_restorer():
     assert r.restore("") == ""
 
 
+DISGUISES = {
+    "moron": ["m 0 r 0 n", "m.0.r.0.n", "m  0-r_0*n", "mmoorroonn"], "idiot": ["i d 1 0 t", "1 d i o t", "idio+", "iddiioott", "iidiot", "!d!0+", "1-d-1-0-t"],
+    "trash": ["t r @ s h", "+rash"], "loser": ["l 0 s 3 r", "|0ser"], "ass": ["a$$"], "thrill": ["thr!||", "t h r i l |"],
+}
+
+
+def test_combined_disguises_are_restored():
+    counts = np.zeros(28**3, dtype=np.int64)
+    for word in (*DISGUISES, "as", "worthy", "day", "hello"):
+        s = [27, 27, *(ord(c) - 97 for c in word), 27]
+        for a, b, c in zip(s, s[1:], s[2:]):
+            counts[(a * 28 + b) * 28 + c] += 100
+    cost = toxicity.language_model(counts)
+    r = toxicity.Restorer(cost)
+    assert all(word in r.words(f"you {x} there") for word, forms in DISGUISES.items() for x in forms), {x: r.words(x) for forms in DISGUISES.values() for x in forms}
+    assert r.words("1 2 3 and 4 5 7") == [] and r.words("hello! a day!!") == ["hello", "day"]
+    featurise = toxicity.make_featurise(cost)
+    for word, forms in DISGUISES.items():  # the gate before the pattern lets them through
+        plain = {int(x) for f, _ in featurise(pa.array([word])) for x in f}
+        for x in forms:
+            assert plain & {int(y) for f, _ in featurise(pa.array([f"you {x} there"])) for y in f}, x
+
+
+def test_gate_lets_all_disguises_through():
+    rng = random.Random(14)
+    letter, leet = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+    letter[97:123] = True
+    leet[[ord(c) for c in toxicity.LEET]] = True
+    hits = 0
+    for _ in range(3000):
+        text = "".join(rng.choice("abo0$!|+  .-") for _ in range(rng.randint(5, 9)))
+        if any(re.search("[a-z]", m[0]) for m in toxicity.DISGUISED.finditer(text)):
+            hits += 1
+            assert toxicity._doubtful(np.frombuffer(text.encode(), dtype=np.uint8), letter, leet).any(), text
+    assert hits > 500
+
+
 def test_ftrl_gives_sparse_weights():
     rng = np.random.default_rng(1)
     docs = [np.unique(np.concatenate([rng.integers(10, 500, 20), [1] if i % 2 else [2]])) for i in range(400)]
