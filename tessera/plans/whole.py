@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import generate, linalg, numeric
+from tessera.operators import catalog, generate, linalg, numeric
 from tessera.plans.queries import Query, rounded
-from tessera.plans.tables import WHOLE_MATRIX, matrix
+from tessera.plans.tables import CATALOGUE, WHOLE_MATRIX, catalogue, matrix
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -78,3 +78,14 @@ def r_sinkhorn_whole(s, d):
     """One round of row and column scaling."""
     m = matrix(s, d, None).select("row", "col", F.exp("val").alias("val"))
     return numeric.sinkhorn(m, 1).select("row", F.col("col").cast("bigint").alias("col"), F.round("val", 6).alias("val"))
+
+
+@query(f"""
+    WITH {CATALOGUE}, x AS (SELECT name, dtype, 0 AS side FROM catalogue UNION ALL SELECT name, 'X' || dtype, 1 FROM catalogue WHERE p_partkey % 3 = 0)
+    SELECT name, arg_max(dtype, side) AS dtype FROM x GROUP BY 1
+""")
+def i_merge_whole(s, d):
+    """The whole catalogue with a part of it overridden."""
+    c = catalogue(s, d)
+    k = F.regexp_extract("name", r"\.([0-9]+)\.weight$", 1).cast("bigint")
+    return catalog.merge_by_key(c, c.filter(k % 3 == 0).withColumn("dtype", F.concat(F.lit("X"), "dtype")), "name", "dtype")

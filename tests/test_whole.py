@@ -77,3 +77,8 @@ def test_sinkhorn_scales_every_row_and_never_gathers_a_column(spark, db):
         x = x / x.sum(0, keepdims=True)
     got = numeric.sinkhorn(m, 3, "g").collect()
     assert len(got) == 70 and all(abs(r["val"] - x[r["row"], r["col"]]) < 1e-9 for r in got)
+
+
+def test_merge_has_every_tensor(spark, db):
+    got = {r["name"] for r in whole.QUERIES["i_merge_whole"](spark, DATA).collect()}
+    assert len(got) == db.sql("SELECT count(*) FROM part").fetchall()[0][0]
