@@ -12,13 +12,15 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import formats
 from tessera.functions.distributions import Distribution, Normal
 
+TOGETHER = 1 << 21  # values of the streams that advance together
+
 
 class ShiftRegister:
     """Many independent streams at once, one for each seed of 32 bytes."""
@@ -42,7 +44,10 @@ class ShiftRegister:
 
     def uniforms(self, n: int) -> np.ndarray:
         """``n`` numbers of each stream, one row a stream."""
-        return np.stack([self.next_f64() for _ in range(n)], axis=1) if n else np.zeros((len(self.a), 0))
+        drawn = np.empty((n, len(self.a)), dtype=np.uint64)
+        for i in range(n):
+            drawn[i] = self.next_u64()
+        return (drawn >> np.uint64(11)).T.astype(np.float64) / float(1 << 53)
 
     def normals(self, n: int) -> np.ndarray:
         """Box-Muller, one number from two uniforms."""
@@ -62,24 +67,47 @@ def chunk_table(tensors: DataFrame, chunk: int, model: str, version: str, seed:
     )
 
 
+def _side_by_side(lengths: np.ndarray) -> Iterator[np.ndarray]:
+    """Positions of streams that advance together: of near lengths, and at most ``TOGETHER`` values unless 16 have more."""
+    order = np.argsort(-lengths, kind="stable")
+    lo = 0
+    while lo < len(order):
+        hi = lo + max(16, TOGETHER // max(int(lengths[order[lo]]), 1))
+        yield order[lo:hi]
+        lo = hi
+
+
 def stream_arrays(chunks: DataFrame, kind: str = "normal", p1: float = 0.0, p2: float = 1.0) -> DataFrame:
-    """name, chunk_id, start, vals (one array a chunk); ``kind`` is normal (mean, std) or uniform (low, high)."""
-
-    def make(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for lo in range(0, len(pdf), 16):  # so many streams advance together
-                part = pdf.iloc[lo : lo + 16]
-                most = int(part["n"].max())
-                streams = ShiftRegister([bytes.fromhex(s) for s in part["seed"]])
+    """name, chunk_id, start, vals (one array a chunk); ``kind`` is normal (mean, std) or uniform (low, high).
+
+    A step of the generator is a handful of array operations over all streams
+    that advance together, so its cost is shared by thousands of short chunks.
+    """
+
+    def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = batch.column(3).to_numpy()
+            for rows in _side_by_side(lengths):
+                own, n = batch.take(pa.array(rows)), lengths[rows]
+                most = int(n.max(initial=0))
+                streams = ShiftRegister([bytes.fromhex(s) for s in own.column(4).to_pylist()])
                 x = p1 + p2 * streams.normals(most) if kind == "normal" else p1 + (p2 - p1) * streams.uniforms(most)
-                yield pd.DataFrame({"name": part["name"], "chunk_id": part["chunk_id"], "start": part["start"], "vals": [v[:n] for v, n in zip(x, part["n"])]})
+                flat = x[np.arange(most)[None] < n[:, None]]
+                vals = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([*own.columns[:3], vals], ["name", "chunk_id", "start", "vals"])
 
-    return chunks.mapInPandas(make, "name string, chunk_id long, start long, vals array<double>")
+    return chunks.select("name", "chunk_id", "start", "n", "seed").mapInArrow(make, "name string, chunk_id long, start long, vals array<double>")
 
 
 def stream_values(chunks: DataFrame, kind: str = "normal", p1: float = 0.0, p2: float = 1.0, tasks: int | None = None) -> DataFrame:
-    """name, chunk_id, idx, val of each chunk's elements."""
-    arrays = stream_arrays(chunks.repartition(tasks) if tasks else chunks, kind, p1, p2)
+    """name, chunk_id, idx, val of each chunk's elements.
+
+    Chunks are descriptions of a few bytes that grow into values, so they are
+    dealt to ``tasks`` tasks (by default the session's shuffle partitions)
+    before the values are made, however few files they came from.
+    """
+    tasks = tasks or int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    arrays = stream_arrays(chunks.repartition(tasks, "name", "chunk_id"), kind, p1, p2)
     rows = arrays.select("name", "chunk_id", "start", F.posexplode("vals").alias("i", "val"))
     return rows.select("name", "chunk_id", (F.col("start") + F.col("i")).alias("idx"), "val")
 
