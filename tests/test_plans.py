@@ -1,6 +1,7 @@
 """Plans are the ones we want: pruned scans, pushed filters, no cartesian products, no Python where none is needed."""
 
 import os
+import random
 import re
 
 import pytest
@@ -12,7 +13,7 @@ from tessera.plans import queries as core
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
-PYTHON = {"g_ks_student_t", "c_special", "j_gram", "j_correlation", "j_off_diagonal", "j_singular_values", "k_stream", "q_encode"}
+PYTHON = {"g_ks_student_t", "c_special", "j_gram", "j_correlation", "j_off_diagonal", "j_singular_values", "k_stream", "q_encode", "b_shard_plan"}
 
 
 def plan(df) -> str:
@@ -23,7 +24,7 @@ def plan(df) -> str:
 def test_no_cartesian_products_and_no_needless_python(spark, name):
     text = plan(core.QUERIES[name](spark, DATA))
     assert "CartesianProduct" not in text
-    assert bool(re.search("Python|Pandas|ArrowEval", text)) == (name in PYTHON)
+    assert bool(re.search("Python|Pandas|ArrowEval|InArrow", text)) == (name in PYTHON)
 
 
 def test_scans_read_only_what_they_need(spark):
@@ -85,3 +86,21 @@ def test_moments_survive_large_means(spark):
     r = linalg.correlation_matrix(m).filter("i < j").first()["corr"]
     wide = m.groupBy("row").agg(F.max(F.when(F.col("col") == 0, F.col("val") - 1e9)).alias("a"), F.max(F.when(F.col("col") == 1, F.col("val") - 1e9)).alias("b"))
     assert abs(r - wide.agg(F.corr("a", "b")).first()[0]) < 1e-9
+
+
+def test_shard_plan_by_ranges_matches_a_plain_fold(spark):
+    rng = random.Random(3)
+    for most in (50, 7, 100_000):
+        rows = [(f"t{rng.randrange(400):03}", rng.choice([0, 0, 1, 3, 10, 49, 50, 51, 120])) for _ in range(500)] + [(None, 5), ("t9", None)]
+        expected, shard, used = [], 1, 0
+        for name, size in sorted((n or "", b or 0) for n, b in rows):
+            if used and used + size > most:
+                shard, used = shard + 1, 0
+            used += size
+            expected.append((name, size, shard))
+        df = spark.createDataFrame(rows, "name string, bytes long")
+        for range_rows in (1000, 40, 7):
+            got = catalog.shard_plan(df, most, range_rows).collect()
+            assert sorted((r["name"] or "", r["bytes"], r["shard"]) for r in got) == sorted(expected)
+            assert all(r["too_large"] == (r["bytes"] > most) for r in got)
+        assert catalog.shard_plan(df.limit(0), most).count() == 0
