@@ -1,8 +1,8 @@
 """Operator 2: embedding near-dedup by spherical k-means cells and blocked cosine products.
 
-Unit vectors are assigned to the cell of the nearest of k centroids.  Vectors
-of one label (and one length) are compared within cells.  A pair may lie in two
-cells; so that none is lost, a vector also visits each lower cell c' in which
+Unit vectors of one label (and one length) are assigned to the cell of the
+nearest of the label's k centroids and compared within cells.  A label of at
+most ``cell_rows`` vectors is one cell.  A pair may lie in two cells; so that none is lost, a vector also visits each lower cell c' in which
 a partner could lie.  With D = c' - c for its own centroid c and t the least
 cosine, a partner y at cosine s >= t has y.D <= s x.D + sqrt(1 - s^2) |D'|,
 D' being D without its part along x, and y lies in c' only if y.D >= 0; so c'
@@ -16,13 +16,16 @@ product each, so a large cell is many tasks.  A task gives, for each class,
 the number of its links, and a spanning forest of the links: no pairs.
 
 Centroids are fitted on at most ``fit_floats`` / length vectors, chosen by
-hash; there are at most ``most_cells`` of them, so what is sent is bounded.
+hash; there are at most ``most_cells`` of them for the ``most_labels`` largest
+labels together, so what is sent is bounded.  Other labels are one cell each,
+cut into blocks like any.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 numbers, and vectors without a label, are linked with nothing and are kept;
-rows that repeat are vectors of their own; a null id gets no component and is
-kept, and links with nothing; an empty table gives no rows; extra columns are
-ignored.
+rows that repeat are vectors of their own, also where their ids repeat: each
+has its own links, and ids that repeat across components do not join them; a
+null id gets no component and is kept, and links with nothing; an empty table
+gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,9 +46,10 @@ from tessera.llm.runtime import bound_batches, delete, materialise
 @dataclass(frozen=True)
 class Params:
     cosine: float = 0.93
-    cell_rows: int = 4096
-    block_rows: int = 2048
+    cell_rows: int = 8192
+    block_rows: int = 4096
     most_cells: int = 4096
+    most_labels: int = 256
     fit_floats: int = 1_280_000
     rounds: int = 8
 
@@ -86,46 +90,59 @@ def visits(x: np.ndarray, c: np.ndarray, cosine: float) -> tuple[np.ndarray, np.
 
 
 def _classes(vectors: DataFrame) -> DataFrame:
-    """Classes of equal usable vectors: label, size, h1, h2, rep, copies, embedding."""
+    """Classes of equal usable vectors: cid, label, size, h1, h2, least (id), copies, embedding.
+
+    The number of a class lasts from when the table is written.
+    """
     value = F.col("embedding")
     fine = F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(value, lambda x: x != 0)
     usable = vectors.filter(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False)))
-    return usable.groupBy("label", F.size(value).alias("size"), F.xxhash64(value).alias("h1"), F.xxhash64(F.lit(1), value).alias("h2")).agg(
-        F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first(value).alias("embedding")
+    return (
+        usable.groupBy("label", F.size(value).alias("size"), F.xxhash64(value).alias("h1"), F.xxhash64(F.lit(1), value).alias("h2"))
+        .agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first(value).alias("embedding"))
+        .withColumn("cid", F.monotonically_increasing_id())
     )
 
 
-def fit_cells(classes: DataFrame, p: Params) -> dict[int, np.ndarray]:
-    """Centroids for each of the commonest vector lengths (eight at most; others have one cell)."""
+def fit_cells(classes: DataFrame, p: Params) -> dict[tuple[int, int], np.ndarray]:
+    """Centroids for the largest labels that have more vectors than a cell; by label and vector length."""
+    counted = classes.groupBy("label", "size").agg(F.count("*").alias("n")).filter(F.col("n") > p.cell_rows)
+    wanted = {(r["label"], r["size"]): r["n"] for r in counted.orderBy(F.desc("n"), "label", "size").limit(p.most_labels).collect()}
+    if not wanted:
+        return {}
+    groups = counted.select("label", "size").orderBy(F.desc("n"), "label", "size").limit(p.most_labels)
+    most = max(p.fit_floats // max(size for _, size in wanted), 2)
+    some = classes.join(F.broadcast(groups), ["label", "size"]).orderBy(F.xxhash64("cid"), "cid").limit(most).select("label", "size", "embedding").toArrow()
+    labels, sizes = some.column("label").to_numpy(), some.column("size").to_numpy()
+    share = min(1.0, p.most_cells / sum(math.ceil(n / p.cell_rows) for n in wanted.values()))
     cells = {}
-    for row in classes.groupBy("size").count().orderBy(F.desc("count"), "size").limit(8).collect():
-        size, k = row["size"], min(math.ceil(row["count"] / p.cell_rows), p.most_cells)
-        most = max(p.fit_floats // size, 2)
+    for (label, size), n in wanted.items():
+        own = np.flatnonzero((labels == label) & (sizes == size))
+        k = min(int(math.ceil(n / p.cell_rows) * share), len(own) // 2)
         if k > 1:
-            some = classes.filter(F.col("size") == size).orderBy(F.xxhash64("rep"), "rep").limit(most).select("embedding").toArrow()
-            cells[size] = spherical_kmeans(unit(some.column(0), size), min(k, most // 2), p.rounds)
+            cells[label, size] = spherical_kmeans(unit(some.column("embedding").take(pa.array(own)), size), k, p.rounds)
     return cells
 
 
-def place(classes: DataFrame, cells: dict[int, np.ndarray], p: Params) -> DataFrame:
+def place(classes: DataFrame, cells: dict[tuple[int, int], np.ndarray], p: Params) -> DataFrame:
     """Each class in its cell, and in the cells it visits."""
     shipped = classes.sparkSession.sparkContext.broadcast(cells)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = batch.column(1).to_numpy()
-            for size in np.unique(sizes):
-                own = batch.take(pa.array(np.flatnonzero(sizes == size)))
-                c = shipped.value.get(int(size))
+            labels, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for label, size in sorted(set(zip(labels.tolist(), sizes.tolist()))):
+                own = batch.take(pa.array(np.flatnonzero((labels == label) & (sizes == size))))
+                c = shipped.value.get((label, size))
                 n = own.num_rows
                 home, row, cell = visits(unit(own.column(4), size), c, p.cosine) if c is not None else (np.zeros(n, int), np.zeros(0, int), np.zeros(0, int))
                 at = np.concatenate([np.arange(n), row])
                 got = own.take(pa.array(at))
                 more = [pa.array(np.concatenate([home, cell]), pa.int32()), pa.array(np.arange(len(at)) >= n)]
-                yield pa.RecordBatch.from_arrays([*got.columns, *more], ["label", "size", "rep", "copies", "embedding", "cell", "visitor"])
+                yield pa.RecordBatch.from_arrays([*got.columns, *more], ["label", "size", "cid", "copies", "embedding", "cell", "visitor"])
 
-    source = classes.select(F.col("label").cast("long"), F.col("size").cast("long"), F.col("rep").cast("long"), "copies", F.col("embedding").cast("array<double>"))
-    return source.mapInArrow(run, "label long, size long, rep long, copies long, embedding array<double>, cell int, visitor boolean")
+    source = classes.select(F.col("label").cast("long"), F.col("size").cast("long"), "cid", "copies", F.col("embedding").cast("array<double>"))
+    return source.mapInArrow(run, "label long, size long, cid long, copies long, embedding array<double>, cell int, visitor boolean")
 
 
 def compare(placed: DataFrame, p: Params) -> DataFrame:
@@ -133,7 +150,7 @@ def compare(placed: DataFrame, p: Params) -> DataFrame:
     cell = ["label", "size", "cell"]
     sizes = placed.groupBy(*cell).agg(F.count(F.when(~F.col("visitor"), 1)).alias("home"), F.count(F.when(F.col("visitor"), 1)).alias("guests"))
     blocks = placed.join(sizes, cell).withColumn("nh", F.ceil(F.col("home") / p.block_rows).cast("int")).withColumn("nv", F.ceil(F.col("guests") / p.block_rows).cast("int"))
-    own = F.pmod(F.xxhash64("rep"), F.when(F.col("visitor"), F.col("nv")).otherwise(F.col("nh"))).cast("int")
+    own = F.pmod(F.xxhash64("cid"), F.when(F.col("visitor"), F.col("nv")).otherwise(F.col("nh"))).cast("int")
     blocks = blocks.filter("nh > 0").withColumn("block", own)
 
     def pairs(n, make):
@@ -148,13 +165,13 @@ def compare(placed: DataFrame, p: Params) -> DataFrame:
         pairs(F.col("nv"), lambda i: task(True, i, b, F.lit(False))),
     )
     tasks = F.when(F.col("visitor"), pairs(F.col("nh"), lambda j: task(True, b, j, F.lit(True)))).otherwise(at_home)
-    dealt = blocks.select(*cell, "rep", "copies", "embedding", F.explode(tasks).alias("t")).select(*cell, "rep", "copies", "embedding", "t.guest", "t.i", "t.j", "t.left")
+    dealt = blocks.select(*cell, "cid", "copies", "embedding", F.explode(tasks).alias("t")).select(*cell, "cid", "copies", "embedding", "t.guest", "t.i", "t.j", "t.left")
 
     def run(key, table):
         guest, i, j = (k.as_py() for k in key[3:6])
         left = table.column("left").to_numpy(zero_copy_only=False)
         x = unit(table.column("embedding"), key[1].as_py())
-        ids, copies = table.column("rep").to_numpy(), table.column("copies").to_numpy()
+        ids, copies = table.column("cid").to_numpy(), table.column("copies").to_numpy()
         same = not guest and i == j
         a, b = (np.arange(len(ids)),) * 2 if same else (np.flatnonzero(left), np.flatnonzero(~left))
         linked = x[a] @ x[b].T >= p.cosine
@@ -182,20 +199,19 @@ def link_vectors(vectors: DataFrame, p: Params = Params()) -> DataFrame:
     spark = vectors.sparkSession
     bound_batches(spark)
     classes, _ = materialise(_classes(vectors), "classes")
-    placed, placed_path = materialise(place(classes.select("label", "size", "rep", "copies", "embedding"), fit_cells(classes, p), p), "placed")
-    links, _ = materialise(compare(placed, p), "links")
+    placed, placed_path = materialise(place(classes.select("label", "size", "cid", "copies", "embedding"), fit_cells(classes, p), p), "placed")
+    links, links_path = materialise(compare(placed, p), "links")
     delete(spark, placed_path)
-    found, _ = components(links.filter("b is not null").select("a", "b"))
-    number = links.groupBy(F.col("a").alias("rep")).agg(F.sum("w").alias("w"))
-    named = (
-        classes.drop("embedding")
-        .join(number, "rep", "left")
-        .join(found.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("label", "size", "h1", "h2", F.coalesce("component", "rep").alias("component"), (F.coalesce("w", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    )
+    found, found_path = components(links.filter("b is not null").select("a", "b"))
+    number = links.groupBy(F.col("a").alias("cid")).agg(F.sum("w").alias("w"))
+    own = classes.drop("embedding").join(number, "cid", "left").join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    least = own.groupBy("component").agg(F.min("least").alias("component_id"))
+    links_of = (F.coalesce("w", F.lit(0)) + F.col("copies") - 1).alias("links")
+    named, _ = materialise(own.join(least, "component").select("label", "size", "h1", "h2", "component_id", links_of), "named")
+    delete(spark, links_path, found_path)
     value = F.col("embedding")
     keyed = vectors.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("label")).alias("label"), F.size(value).alias("size"), F.xxhash64(value).alias("h1"), F.xxhash64(F.lit(1), value).alias("h2"))
     joined = keyed.join(named, ["label", "size", "h1", "h2"], "left")
-    return joined.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")).withColumn(
+    return joined.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").cast("long").alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))
     )

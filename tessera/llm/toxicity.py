@@ -37,6 +37,7 @@ from tessera.llm.textkit import WordHasher, chunks, mix, string_buffers
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
 SUBSTITUTED, DROPPED_LEET, DROPPED_MARK, DROPPED_GAP, SHORTENED = 1.0, 9.0, 2.0, 0.2, 1.0
 BEGINNINGS = (4, 6)  # bytes of a longer word that count as a feature of their own
+ROW_GAP = 4  # bytes between rows that are looked at together
 SYMBOLS = 28  # a-z, another letter, and the edge of a word
 OTHER, EDGE = 26, 27
 
@@ -59,14 +60,16 @@ def _symbol_table() -> np.ndarray:
 
 
 def char_counts(docs: DataFrame) -> DataFrame:
-    """Counts of letter trigrams over all texts: k (their number in base 28), n."""
+    """Counts of letter trigrams over all texts, each on its own: k (their number in base 28), n."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, total = _symbol_table(), np.zeros(SYMBOLS**3, dtype=np.int64)
         for batch in batches:
             data, offsets = string_buffers(batch.column(0))
             for lo, hi in chunks(offsets):
-                s = np.concatenate([[EDGE, EDGE], table[data[offsets[lo] : offsets[hi]]], [EDGE]])
+                own = table[data[offsets[lo] : offsets[hi]]]
+                # two edges before each text and behind the last, so that no trigram reaches from text to text
+                s = np.append(np.insert(own, np.repeat(offsets[lo:hi] - offsets[lo], 2), EDGE), [EDGE, EDGE])
                 total += np.bincount((s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:], minlength=len(total))
         k = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], ["k", "n"])
@@ -152,6 +155,15 @@ class Restorer:
         return found
 
 
+def doubtful_rows(data: np.ndarray, offsets: np.ndarray, letter: np.ndarray, leet: np.ndarray) -> np.ndarray:
+    """The rows in which a disguise may stand; each row is looked at on its own."""
+    rows = np.arange(len(offsets) - 1)
+    apart = np.insert(data, np.repeat(offsets[:-1], ROW_GAP), ord("\n"))  # nothing reaches over this gap
+    found = np.concatenate([[0], np.cumsum(_doubtful(apart, letter, leet))])
+    begin, end = offsets[:-1] + ROW_GAP * (rows + 1), offsets[1:] + ROW_GAP * (rows + 1)
+    return np.flatnonzero(found[end] > found[begin])
+
+
 def _doubtful(data: np.ndarray, letter: np.ndarray, leet: np.ndarray) -> np.ndarray:
     """Marks bytes near which a disguise may begin; a cheap superset of DISGUISED."""
     mark = np.zeros(len(data), dtype=bool)
@@ -207,8 +219,7 @@ def make_featurise(cost: np.ndarray):
         for lo, hi in chunks(offsets):
             part, off = small[data[offsets[lo] : offsets[hi]]], offsets[lo : hi + 1] - offsets[lo]
             n_rows = hi - lo
-            found = np.concatenate([[0], np.cumsum(_doubtful(part, letter, leet))])
-            rows_at = np.flatnonzero(found[off[1:]] > found[off[:-1]])
+            rows_at = doubtful_rows(part, off, letter, leet)
             extra = [" ".join(restorer.words(part[off[r] : off[r + 1]].tobytes().decode())) for r in rows_at]
             words, rows = _word_features(hasher, plain[part], off)
             if any(extra):

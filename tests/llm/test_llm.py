@@ -161,6 +161,14 @@ def test_vectors_match_brute_force(spark, params):
     assert embeddings.link_vectors(df.limit(0), params).count() == 0
 
 
+def test_vectors_of_repeated_ids_stay_apart(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [0.0, 1.0], 0)], "vec_id long, embedding array<double>, label int")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embeddings.link_vectors(df).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
+    df = df.filter("vec_id < 3")
+    assert sorted((r["vec_id"], r["n_links"]) for r in embeddings.link_vectors(df).collect()) == [(1, 0), (1, 1), (2, 1)]
+
+
 # ---- 3 lines
 
 
@@ -308,10 +316,23 @@ def test_gate_lets_all_disguises_through():
         text = "".join(rng.choice("abo0$!|+  .-") for _ in range(rng.randint(5, 9)))
         if any(re.search("[a-z]", m[0]) for m in toxicity.DISGUISED.finditer(text)):
             hits += 1
-            assert toxicity._doubtful(np.frombuffer(text.encode(), dtype=np.uint8), letter, leet).any(), text
+            rows = toxicity.doubtful_rows(np.frombuffer(text.encode(), dtype=np.uint8), np.array([0, len(text)]), letter, leet)
+            assert len(rows), text
     assert hits > 500
 
 
+def test_features_and_counts_do_not_depend_on_neighbours(spark):
+    rng = random.Random(15)
+    texts = ["a b c", "", "xx a", "@ b", "a@", "s", "p a m", "$$", "b", "ab 0", None] + ["".join(rng.choice("abo0$!|+  .-é") for _ in range(rng.randint(0, 12))) for _ in range(400)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], DOCS)
+    counts = [sorted(tuple(r) for r in toxicity.char_counts(docs.repartition(n)).collect()) for n in (1, 16)]
+    assert counts[0] == counts[1]
+    featurise = toxicity.make_featurise(toxicity.language_model(np.zeros(28**3, dtype=np.int64)))
+    together = [f[at[i] : at[i + 1]].tolist() for f, at in featurise(pa.array(texts)) for i in range(len(at) - 1)]
+    alone = [next(featurise(pa.array([t], pa.string())))[0].tolist() for t in texts]
+    assert together == alone
+
+
 def test_ftrl_gives_sparse_weights():
     rng = np.random.default_rng(1)
     docs = [np.unique(np.concatenate([rng.integers(10, 500, 20), [1] if i % 2 else [2]])) for i in range(400)]
