@@ -26,6 +26,7 @@ give no rows; extra columns are ignored.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
@@ -146,12 +147,9 @@ class Matcher:
     def matches(self, text: str) -> list[tuple[int, int, int, int]]:
         """Best match of each item: (number of the item, distance, start, end) in the normalised text."""
         best: dict[int, tuple[int, int, int]] = {}
-        tried: set[tuple[int, int, int]] = set()
         for last, (size, where) in self.automaton.iter(text):
             begin, end = last + 1 - size, last + 1
             for number, at in where:
-                if (number, at, begin) in tried:
-                    continue
                 _, item, k = self.items[number]
                 most = min(k, best[number][0] - 1) if number in best else k
                 if most < 0 or (number in self.short and not bounded(text, begin, end)):
@@ -166,6 +164,18 @@ class Matcher:
         return [(n, *b) for n, b in sorted(best.items())]
 
 
+#: The matcher of the block that this worker had last, so that its later tasks do not build it again.
+_LAST: dict[str, Matcher] = {}
+
+
+def worker_matcher(name: str, items: list[tuple[int, str]], rate: float, least: int, least_chars: int) -> Matcher:
+    """The matcher of a block of items; ``name`` stands for the block and its parameters."""
+    if name not in _LAST:
+        _LAST.clear()
+        _LAST[name] = Matcher(items, rate, least, least_chars)
+    return _LAST[name]
+
+
 def original_span(text: str, start: int, end: int) -> tuple[int, int]:
     """Where a span of the normalised text stands in the text itself."""
     places = []
@@ -204,10 +214,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.08, least: int
     spark = docs.sparkSession
 
     def one(block: list[tuple[int, str]]) -> DataFrame:
-        shipped = spark.sparkContext.broadcast(block)
+        shipped, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shipped.value, rate, least, least_chars)
+            matcher = worker_matcher(name, shipped.value, rate, least, least_chars)
             for batch in batches:
                 rows = []
                 if matcher.items:
@@ -234,10 +244,10 @@ def without_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.08, least:
     at = names.index("text")
 
     def one(rest: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
-        shipped = spark.sparkContext.broadcast(block)
+        shipped, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shipped.value, rate, least, least_chars)
+            matcher = worker_matcher(name, shipped.value, rate, least, least_chars)
             for batch in batches:
                 clean = []
                 for lo in range(0, batch.num_rows, 256):  # few texts are unpacked at a time

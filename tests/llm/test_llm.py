@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -223,10 +224,28 @@ def test_compaction_keeps_rows_and_versions(spark):
     assert {r["shard"] for r in got.select("shard").distinct().collect()} == set(range(len(after)))
     assert max(s.bytes for s in after) <= 2 * 40_000
     with pytest.raises(Exception):  # the number is taken
-        store.commit(version - 1, after)
+        store.commit(version - 1, after, df.schema)
     assert store.version() == version
+    own = store.read(number="_place")  # a column of this name is the user's own
+    assert {r["shard"] for r in own.select("shard").distinct().collect()} == {"own"} and "_place" in own.columns
+    old = store.read(version - 1)  # an older version is still there
+    assert Counter((r["doc_id"], r["text"]) for r in old.collect()) == Counter(rows) and store.shards(version - 1) == before
+
+    def files():
+        return {str(f.relative_to(f"{store.root}/data")) for f in Path(f"{store.root}/data").rglob("*.parquet")}
+
+    held = files()
+    with pytest.raises(Exception):  # a commit that fails leaves nothing behind
+        stale = sharding.ShardStore(spark, store.root)
+        stale.version = lambda: version - 1
+        stale.append(df.limit(3))
+    assert files() == held
+    assert store.expire(version) == len(before) - len([s for s in after if s in before]) and store.read().count() == len(rows)
+    assert {s.name for s in after} <= files() and len(files()) <= len(after) + 1 and store.expire(version) == 0
     empty = sharding.ShardStore(spark, fresh_path(spark, "test-store"))
     assert empty.append(df.limit(0)) == 1 and empty.shards() == [] and empty.compact() == 1
+    nothing = empty.read()
+    assert nothing.count() == 0 and nothing.columns == store.read().columns and nothing.select("doc_id", "text").schema == store.read().select("doc_id", "text").schema
 
 
 def test_plans_end_and_respect_the_target():
