@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
 Each round groups edges by a node for its least neighbour (summed up on the
-map side) and joins that back, so no node's neighbours are ever collected.
+map side) and joins that back, so no node's neighbours are ever collected; a
+node with a large share of the edges is dealt to several tasks.
 Rounds are written as tables in the shared folder; the number of rounds grows
 with the logarithm of the graph.
 """
@@ -12,19 +13,21 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.runtime import delete, materialise
+from tessera.llm.runtime import delete, join_dealt, materialise
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    return both.filter(F.col("v") > F.col("u")).join(least, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
+    down = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
+    least = edges.unionAll(down).groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n_rows")).withColumn("m", F.least("u", "m"))
+    joined = join_dealt(down, least.drop("n_rows"), ["u"], least.select("u", "n_rows"), total)
+    return joined.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n_rows"))
     own = least.select("u", F.col("m").alias("v"))
-    rest = edges.join(least, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    joined = join_dealt(edges, least.drop("n_rows"), ["u"], least.select("u", "n_rows"), total)
+    rest = joined.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return own.unionAll(rest).distinct()
 
 
@@ -45,7 +48,8 @@ def components(edges: DataFrame) -> tuple[DataFrame, str]:
     start = edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now, path = materialise(start, "edges")
     while not _are_stars(now):
-        following, new_path = materialise(_small_star(_large_star(now)), "edges")
+        total = now.count()
+        following, new_path = materialise(_small_star(_large_star(now, total), total), "edges")
         delete(now.sparkSession, path)
         now, path = following, new_path
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")), path

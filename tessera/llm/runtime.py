@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: list[str] = []
 
@@ -20,6 +21,9 @@ def shared_root(spark: SparkSession) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="tessera-shared-"))
             atexit.register(shutil.rmtree, _OWN[0], True)
@@ -63,3 +67,24 @@ def materialise(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+#: A key with more than this share of all rows is dealt to several tasks.
+SALTS = 512
+
+
+def join_dealt(many: DataFrame, one: DataFrame, on: list[str], counts: DataFrame, total: int, size: str = "n_rows") -> DataFrame:
+    """Inner join of ``many`` rows with a table that has one row a key, however hot a key is.
+
+    ``counts`` gives the number (``size``) of the rows of each key, ``total``
+    that of all rows.  A key with more than one in ``SALTS`` of them is cut
+    into parts by a hash of its rows, and its row of ``one`` goes to each part.
+    There are at most ``SALTS`` such keys, so their table, which is broadcast,
+    is bounded.
+    """
+    parts = F.ceil(F.col(size) * SALTS / max(total, 1)).cast("int")
+    hot = F.broadcast(counts.filter(F.col(size) * SALTS > total).select(*on, parts.alias("_parts")))
+    salt = F.pmod(F.xxhash64(*many.columns), F.coalesce("_parts", F.lit(1))).cast("int")
+    dealt = many.join(hot, on, "left").withColumn("_salt", salt).drop("_parts")
+    copied = one.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(copied, [*on, "_salt"]).drop("_salt")

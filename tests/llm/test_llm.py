@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tessera.llm import chat, decontam, embeddings, ftrl, line_dedup, minhash, packing, quality, secrets, sharding, toxicity
+from tessera.llm import chat, decontam, embeddings, ftrl, line_dedup, minhash, packing, quality, runtime, secrets, sharding, toxicity
 from tessera.llm.components import components, forest
 from tessera.llm.runtime import fresh_path
 
@@ -62,6 +62,17 @@ def test_components_of_chains_stars_and_loops(spark):
     assert components(df.limit(0))[0].count() == 0
 
 
+def test_a_node_of_many_links_is_dealt_to_many_tasks(spark):
+    edges = spark.range(100_000).select(F.lit(5).cast("long").alias("a"), (F.col("id") + 10).alias("b"))
+    found, _ = components(edges.unionAll(spark.createDataFrame([(100_005, 200_000), (200_000, 300_000)], "a long, b long")))
+    assert [tuple(r) for r in found.groupBy("component").count().collect()] == [(5, 100_002)]
+    many, one = edges.withColumnRenamed("a", "k"), spark.createDataFrame([(5, "x"), (6, "y")], "k long, v string")
+    counts = many.groupBy("k").agg(F.count("*").alias("n_rows"))
+    joined = runtime.join_dealt(many, one, ["k"], counts, 100_000)
+    assert joined.columns == ["k", "b", "v"] and joined.count() == 100_000
+    assert joined.filter("v <> 'x' or v is null").isEmpty()
+
+
 def test_forest_spans_links():
     rng = np.random.default_rng(3)
     linked = rng.random((20, 15)) < 0.08
@@ -372,9 +383,11 @@ def sets_by_hand(rows, k):
     return out
 
 
-@pytest.mark.parametrize("partners", [32, -1])
-def test_near_copies_match_brute_force(spark, monkeypatch, partners):
+@pytest.mark.parametrize(("partners", "block", "salts"), [(32, 512, 512), (-1, 3, 8)])
+def test_near_copies_match_brute_force(spark, monkeypatch, partners, block, salts):
     monkeypatch.setattr(minhash, "PARTNERS", partners)
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(runtime, "SALTS", salts)
     rng = random.Random(10)
     rows = []
     for g in range(12):
@@ -398,6 +411,19 @@ def test_near_copies_match_brute_force(spark, monkeypatch, partners):
     assert minhash.near_duplicates(docs_of(spark, ODD).limit(0), p).count() == 0
 
 
+def test_one_of_each_keeps_what_stands_alone(spark):
+    rng = random.Random(16)
+    t, u, v = (sentence(rng, 40) for _ in range(3))
+    rows = [(1, t), (1, t), (2, u), (5, t), (5, v), (None, u), (None, None), (7, ""), (7, ""), (8, t + " more"), (9, v), (9, v)]
+    docs = docs_of(spark, rows).withColumn("key", F.lit("own")).withColumn("a.b", F.lit(3))
+    left = minhash.one_of_each(docs)
+    assert left.columns == docs.columns and {(r["key"], r["a.b"]) for r in left.collect()} == {("own", 3)}
+    assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter([(1, t), (2, u), (5, v), (None, None), (7, ""), (7, "")])
+    only = docs.filter("doc_id is null or doc_id = 9")
+    assert Counter((r["doc_id"], r["text"]) for r in minhash.one_of_each(only).collect()) == Counter([(None, u), (None, None), (9, v)])
+    assert minhash.one_of_each(docs.limit(0)).count() == 0
+
+
 # ---- 8 secrets
 
 
