@@ -1,7 +1,8 @@
 """Operator 10: event-sourced chat reconstruction and rendering (DataFrame functions only).
 
-An event log has one row per event: ``conv_id``, ``seq``, ``msg`` (which
-message the event is about), ``kind``, ``role`` and ``text``.  Kinds:
+An event log has one row per event: ``conv_id``, ``seq`` (any type that has an
+order), ``msg`` (which message the event is about), ``kind``, ``role`` and
+``text``.  Kinds:
 
 * ``message``     a whole message;
 * ``delta``       a streamed piece, appended to the message's text;
@@ -17,7 +18,8 @@ every ``[``, ``<`` and backslash gets a backslash after it, so no control
 string can arise from a text, and the reading back is unique.
 
 Defined results: null text and null role are empty; an unknown kind counts as
-``message``; ties in ``seq`` go by kind, role and text; a null conversation id
+``message``; a null ``seq`` or turn comes first; ties in ``seq`` go by kind,
+role and text; a null conversation id
 is a conversation of its own; an empty log gives no rows; extra columns are
 ignored.  A conversation is one value in the output, so its rendered text has
 to fit into one row; rows are escaped before they are brought together.
@@ -148,7 +150,27 @@ def chat_digests(chats: DataFrame) -> DataFrame:
     )
 
 
-def turns_as_events(turns: DataFrame) -> DataFrame:
-    """A table of whole turns as an event log; repeated turns are messages of their own."""
+def turns_as_log(turns: DataFrame, piece: int = 256) -> DataFrame:
+    """A table of final turns as the event log of a chat that ends with them.
+
+    By a hash of its place a turn is a whole message, a stream of deltas of
+    ``piece`` code points, a draft that an edit replaces, or a streamed draft
+    that is thrown away and streamed anew.  ``seq`` is (turn, step).  Repeated
+    turns are messages of their own; null turns come first.
+    """
     order = W.partitionBy("conv_id", "turn").orderBy("role", "text")
-    return turns.select("conv_id", F.col("turn").alias("seq"), F.struct("turn", F.row_number().over(order).alias("copy")).alias("msg"), F.lit("message").alias("kind"), "role", "text")
+    text = F.coalesce("text", F.lit(""))
+    draft = F.reverse(F.substring(text, 1, 64))
+    none = F.lit(None).cast("string")
+
+    def event(kind: str, body: Column, named: bool = False) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), (F.col("role") if named else none).alias("role"), body.alias("text"))
+
+    streamed = F.transform(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{piece}}}"), F.lit(0)), lambda x: event("delta", x))
+    whole, edited = F.array(event("message", text, True)), F.array(event("message", draft, True), event("edit", text))
+    plain, again = F.concat(F.array(event("delta", F.lit(""), True)), streamed), F.concat(F.array(event("delta", draft, True), event("regenerate", none)), streamed)
+    numbered = turns.select("conv_id", "turn", "role", "text", F.row_number().over(order).alias("copy"))
+    way = F.pmod(F.xxhash64("conv_id", "turn", "copy"), F.lit(4))
+    log = F.when(way == 0, whole).when(way == 1, plain).when(way == 2, edited).otherwise(again)
+    events = numbered.select("conv_id", "turn", F.struct("turn", "copy").alias("msg"), F.posexplode(log).alias("step", "e"))
+    return events.select("conv_id", F.struct("turn", "step").alias("seq"), "msg", "e.kind", "e.role", "e.text")

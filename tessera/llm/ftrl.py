@@ -154,5 +154,5 @@ def with_score(docs: DataFrame, model: Model, featurise: Featurise, column: str
             got = [own.scores(found, offsets) for found, offsets in featurise(batch.column(at))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(got) if got else np.zeros(0))], [*names, column])
 
-    source = docs.select(*names)
+    source = docs.select(*[F.col(f"`{c}`") for c in names])
     return source.mapInArrow(scored, T.StructType([*source.schema.fields, T.StructField(column, T.DoubleType())]))

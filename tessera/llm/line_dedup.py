@@ -17,7 +17,8 @@ Defined results: null text stays null; an empty text or one of fewer than
 ``width`` lines has no window and stays; windows of blank lines only are not
 counted; rows with the same id and text are one occurrence and get the same
 result; ids may be null (they come first); an empty table gives no rows;
-extra columns are kept, but for one named ``n_removed``, which is replaced.
+extra columns are kept, but for one named as the count (``n_removed``), which
+is replaced.
 """
 
 from __future__ import annotations
@@ -66,8 +67,8 @@ def covered(docs: DataFrame, width: int) -> DataFrame:
     )
 
 
-def dedup_lines(docs: DataFrame, width: int = 3) -> DataFrame:
-    """The documents with later window occurrences removed, and ``n_removed`` (lines)."""
+def dedup_lines(docs: DataFrame, width: int = 3, count: str = "n_removed") -> DataFrame:
+    """The documents with later window occurrences removed, and the number of lines removed as ``count``."""
     spans = covered(docs, width)
     own = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").alias("_doc_id"), F.xxhash64("text").alias("_doc_hash"))
     both = own.join(spans, F.col("_doc_id").eqNullSafe(F.col("_id")) & (F.col("_doc_hash") == F.col("_hash")), "left")
@@ -81,6 +82,6 @@ def dedup_lines(docs: DataFrame, width: int = 3) -> DataFrame:
     changed = cut.withColumn("_kept", kept)
     new_text = F.when(whole, text).otherwise(F.array_join("_kept", "\n")).alias("text")
     return changed.select(
-        *[new_text if c == "text" else F.col("_doc").getField(c).alias(c) for c in docs.columns if c != "n_removed"],
-        F.when(whole, 0).otherwise(F.size("_lines") - F.size("_kept")).cast("long").alias("n_removed"),
+        *[new_text if c == "text" else F.col("_doc").getField(c).alias(c) for c in docs.columns if c != count],
+        F.when(whole, 0).otherwise(F.size("_lines") - F.size("_kept")).cast("long").alias(count),
     )

@@ -128,15 +128,14 @@ def full_sets(chosen: DataFrame, p: Params) -> DataFrame:
 def bucket_members(classes: DataFrame, p: Params) -> DataFrame:
     """key, cid of all buckets with more than one member."""
     half = classes.select("cid", F.posexplode("h").alias("i", "x")).select("cid", "i", F.xxhash64("i", "x").alias("x"))
-    total = classes.count()
-    busy = half.groupBy("x").agg(F.count("*").alias("n_rows")).filter("n_rows > 1")
-    own = join_dealt(half, busy.select("x"), ["x"], busy, 2 * p.m * total).groupBy("cid").agg(F.collect_set(F.struct("i", "x")).alias("h"))
+    busy = half.groupBy("x").agg(F.count("*").alias("c")).filter("c > 1").select("x")
+    own = half.join(busy, "x", "left_semi").groupBy("cid").agg(F.collect_set(F.struct("i", "x")).alias("h"))
     first, second = (F.filter("h", lambda y: (y["i"] < p.m) if side == 0 else (y["i"] >= p.m)) for side in (0, 1))
     keys = own.withColumn("first", first).withColumn("second", second).select(
         "cid", F.explode(F.flatten(F.transform("first", lambda a: F.transform("second", lambda b: F.xxhash64(a["x"], b["x"]))))).alias("key")
     )
-    many = keys.groupBy("key").agg(F.count("*").alias("n_rows")).filter("n_rows > 1")
-    return join_dealt(keys, many.select("key"), ["key"], many, p.m * p.m * total)
+    many = keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
+    return keys.join(many, "key", "left_semi")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:

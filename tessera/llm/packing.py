@@ -4,13 +4,22 @@ Every document becomes its token ids followed by one end id.  Documents are
 placed online, one by one, into windows of ``seq_len`` ids.  Full windows are
 cut off first; the rest goes to the fill level that makes the sum of squared
 counts of partially filled windows smallest.  The counts live in one array by
-level.  Open windows are bounded: when there are too many, and at the end of
-a partition, their content is strung together and cut anew into full windows.
-The last ids of a partition form sequences whose lengths are powers of two, so
-nothing at all is padded.
-
-Each Spark partition packs on its own and nothing is shuffled.  The sequence
-id holds the partition number, so a task that runs again gives the same rows.
+level.
+
+There are two passes.  In the first, each Spark partition packs on its own and
+nothing is shuffled.  What lies in windows that are still open at its end goes
+to the second pass: the documents (or rests of them) of the open windows of
+``together`` partitions meet in one task and are placed by the same rule.  Only
+what is still open then is strung together and cut anew (``strung``): full windows,
+and at last sequences whose lengths are powers of two, so nothing at all is
+padded.  A partition leaves at most some windows a level open, so the share
+that is strung falls as partitions grow.  Open windows are bounded: when there
+are more than ``most_open``, the first pass hands them on and the second
+strings them.
+
+The first pass is written as a table in the shared folder.  A sequence id holds
+the number of its task, and the second pass reads its rows in a fixed order, so
+a task that runs again gives the same rows.
 
 Defined results: a null or empty text is the end id alone.  A null document id
 stays null.  Repeated rows are packed once each.  An empty table gives no rows.
@@ -30,9 +39,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.runtime import bound_batches
+from tessera.llm.runtime import bound_batches, materialise
 
-PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
+PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary, strung boolean"
+SECOND = 1 << 62  # added to the sequence ids of the second pass
+LONGEST = 64  # bytes of a part that the word cache keeps
 
 
 class WordCache(dict):
@@ -45,8 +56,8 @@ class WordCache(dict):
     ids without it and those of the sign.  Texts that might hold special tokens
     go to the tokenizer whole.  Plain words go to its merge model directly if
     that gives the same ids on some probe words.  Parts
-    are kept for two generations of ``most`` each: those not met for a whole
-    generation go.
+    of at most ``LONGEST`` bytes are kept for two generations of ``most`` each:
+    those not met for a whole generation go.
     """
 
     #: Words that normalising only puts into small letters: a-z and the letters U+00C0 to U+00FF.
@@ -82,7 +93,8 @@ class WordCache(dict):
             ids = self._word_ids(part)
         else:
             ids = self._ids(part.decode())
-        self[part] = ids
+        if len(part) <= LONGEST:
+            self[part] = ids
         return ids
 
     def encode(self, text: bytes) -> bytes:
@@ -95,13 +107,16 @@ class WordCache(dict):
         return b"".join(map(self.__getitem__, text.lower().replace(b"\n", b" ").split(b" ")))
 
 
+Piece = tuple[int | None, int, int, bytes]  # document, start, ids of the document, ids
+
+
 class SumOfSquares:
-    """Online packing; yields closed windows as lists of (document, start, ids)."""
+    """Online packing; a window is a list of pieces."""
 
-    def __init__(self, seq_len: int, most_open: int) -> None:
-        self.seq_len, self.most_open = seq_len, most_open
+    def __init__(self, seq_len: int) -> None:
+        self.seq_len = seq_len
         self.counts = np.zeros(seq_len + 1, dtype=np.int64)
-        self.windows: list[list[list]] = [[] for _ in range(seq_len)]
+        self.windows: list[list[list[Piece]]] = [[] for _ in range(seq_len)]
         self.open = 0
 
     def level_for(self, size: int) -> int:
@@ -116,62 +131,58 @@ class SumOfSquares:
         best = len(cost) - 1 - int(np.argmin(cost[::-1]))  # a tie goes to the fuller window
         return best
 
-    def add(self, doc: int, ids: bytes) -> Iterator[list]:
-        """Place one document."""
-        n, top = len(ids) // 4, self.seq_len
-        start = 0
-        while n - start >= top:
-            yield [(doc, start, ids[4 * start : 4 * (start + top)])]
-            start += top
-        size = n - start
-        if not size:
-            return
+    def place(self, pieces: list[Piece], size: int) -> Iterator[list[Piece]]:
+        """Place what belongs together; gives the window if it is full now."""
         level = self.level_for(size)
         if level:
             window = self.windows[level].pop()
             self.counts[level] -= 1
             self.open -= 1
+            window += pieces
         else:
-            window = []
-        window.append((doc, start, ids[4 * start :]))
-        if level + size == top:
+            window = pieces
+        if level + size == self.seq_len:
             yield window
             return
         self.windows[level + size].append(window)
         self.counts[level + size] += 1
         self.open += 1
-        if self.open > self.most_open:
-            yield from self.level_out(last=False)
 
-    def level_out(self, last: bool) -> Iterator[list]:
-        """String all open windows together and cut full ones; ``last`` also closes the rest."""
-        top = self.seq_len
-        pieces = [p for level in reversed(self.windows) for w in level for p in w]
+    def add(self, doc: int | None, ids: bytes) -> Iterator[list[Piece]]:
+        """Cut the full windows off a document and place the rest."""
+        n, top = len(ids) // 4, self.seq_len
+        start = 0
+        while n - start >= top:
+            yield [(doc, start, n, ids[4 * start : 4 * (start + top)])]
+            start += top
+        if n > start:
+            yield from self.place([(doc, start, n, ids[4 * start :])], n - start)
+
+    def take_open(self) -> list[list[Piece]]:
+        """All open windows, the fullest first; none is left."""
+        found = [w for level in reversed(self.windows) for w in level]
         self.counts[:] = 0
-        self.windows = [[] for _ in range(top)]
+        self.windows = [[] for _ in range(self.seq_len)]
         self.open = 0
-        left = sum(len(p[2]) // 4 for p in pieces)
-        window, room = [], min(top, left)
-        if last and left < top:
-            room = 1 << (left.bit_length() - 1) if left else 0
-        for doc, start, ids in pieces:
-            at, n = 0, len(ids) // 4
-            while at < n:
-                take = min(room, n - at)
-                window.append((doc, start + at, ids[4 * at : 4 * (at + take)]))
-                at += take
-                room -= take
-                left -= take
-                if not room:
-                    if sum(len(p[2]) for p in window) // 4 == top or last:
-                        yield window
-                        window = []
-                    room = top if left >= top else (1 << (left.bit_length() - 1) if last and left else left)
-        if window:
-            size = sum(len(p[2]) for p in window) // 4
-            self.windows[size].append(window)
-            self.counts[size] += 1
-            self.open += 1
+        return found
+
+
+def string_out(windows: list[list[Piece]], seq_len: int) -> Iterator[list[Piece]]:
+    """The windows' pieces one behind the other, cut into full windows and then into powers of two."""
+    pieces = [p for w in windows for p in w]
+    left = sum(len(p[3]) // 4 for p in pieces)
+    window, room = [], 0
+    for doc, start, total, ids in pieces:
+        at, n = 0, len(ids) // 4
+        while at < n:
+            if not room:
+                room = seq_len if left >= seq_len else 1 << (left.bit_length() - 1)
+            take = min(room, n - at)
+            window.append((doc, start + at, total, ids[4 * at : 4 * (at + take)]))
+            at, room, left = at + take, room - take, left - take
+            if not room:
+                yield window
+                window = []
 
 
 def _worker_tokenizer(path: str | None) -> WordCache:
@@ -182,67 +193,83 @@ def _worker_tokenizer(path: str | None) -> WordCache:
         import public_tokenizers
 
         path = public_tokenizers.path("word_bpe_49k.json")
-    kept = vars(tokenizers).setdefault("_tessera_word_caches", {})
-    if path not in kept:
-        kept[path] = WordCache(tokenizers.Tokenizer.from_file(path))
-    return kept[path]
+    if path not in _CACHES:
+        _CACHES[path] = WordCache(tokenizers.Tokenizer.from_file(path))
+    return _CACHES[path]
 
 
-def _packed(batches: Iterable[pa.RecordBatch], seq_len: int, end_id: int, path: str | None, most_open: int) -> Iterator[pa.RecordBatch]:
-    cache, packer = _worker_tokenizer(path), SumOfSquares(seq_len, most_open)
-    end = np.array([end_id], dtype="<u4").tobytes()
-    base = TaskContext.get().partitionId() << 32
-    rows: list[tuple] = []
-    totals: dict[int, int] = {}
-    count = 0
-    serial = 0  # names a row inside the task, as document ids may repeat or be null
-    names: dict[int, int | None] = {}
-
-    def closed(windows):
-        nonlocal count
-        for window in windows:
-            offset = 0
-            for doc, start, ids in window:
-                rows.append((doc, start, len(ids) // 4, base + count, offset, ids))
-                offset += len(ids) // 4
-            count += 1
-
-    def out():
-        docs = [r[0] for r in rows]
-        got = pa.RecordBatch.from_arrays(
-            [
-                pa.array([names[d] for d in docs], pa.int64()),
-                *(pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2)),
-                pa.array([totals[d] for d in docs], pa.int64()),
-                *(pa.array([r[k] for r in rows], pa.int64()) for k in (3, 4)),
-                pa.array([r[5] for r in rows], pa.binary()),
-            ],
-            ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
-        )
-        rows.clear()
-        live = {p[0] for level in packer.windows for w in level for p in w}
-        for d in [d for d in names if d not in live]:
-            del names[d], totals[d]
+#: Word caches of this Python worker, by tokenizer file.
+_CACHES: dict[str, WordCache] = {}
+
+
+class _Rows:
+    """Windows as rows of pieces, with sequence ids counted from ``base``."""
+
+    def __init__(self, base: int) -> None:
+        self.base, self.count, self.rows = base, 0, []
+
+    def add(self, window: list[Piece], strung: bool = False, still_open: bool = False) -> None:
+        offset = 0
+        for doc, start, total, ids in window:
+            self.rows.append((doc, start, len(ids) // 4, total, self.base + self.count, offset, ids, strung, still_open))
+            offset += len(ids) // 4
+        self.count += 1
+
+    def take(self) -> pa.RecordBatch:
+        kinds = (*[pa.int64()] * 6, pa.binary(), pa.bool_(), pa.bool_())
+        names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids", "strung", "open"]
+        got = pa.RecordBatch.from_arrays([pa.array([r[k] for r in self.rows], t) for k, t in enumerate(kinds)], names)
+        self.rows = []
         return got
 
+
+def _first_pass(batches: Iterable[pa.RecordBatch], seq_len: int, end_id: int, path: str | None, most_open: int) -> Iterator[pa.RecordBatch]:
+    cache, packer, out = _worker_tokenizer(path), SumOfSquares(seq_len), _Rows(TaskContext.get().partitionId() << 32)
+    end = np.array([end_id], dtype="<u4").tobytes()
     for batch in batches:
         ids_of, texts = batch.column(0), batch.column(1)
         for lo in range(0, batch.num_rows, 256):
             part = texts.slice(lo, 256).fill_null("").cast(pa.large_binary()).to_pylist()
             for doc, text in zip(ids_of.slice(lo, 256).to_pylist(), part, strict=True):
-                ids = cache.encode(text) + end
-                names[serial], totals[serial] = doc, len(ids) // 4
-                closed(packer.add(serial, ids))
-                serial += 1
-            if len(rows) >= 1000:
-                yield out()
-    closed(packer.level_out(last=True))
-    if rows:
-        yield out()
+                for window in packer.add(doc, cache.encode(text) + end):
+                    out.add(window)
+                if packer.open > most_open:
+                    for window in packer.take_open():
+                        out.add(window, still_open=True)
+            if len(out.rows) >= 1000:
+                yield out.take()
+    for window in packer.take_open():
+        out.add(window, still_open=True)
+        if len(out.rows) >= 1000:
+            yield out.take()
+    if out.rows:
+        yield out.take()
     cache.older = {}  # an idle worker keeps one generation at most
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seq_len: int = 2048, end_id: int = 1, tokenizer_path: str | None = None, most_open: int = 1024) -> DataFrame:
+def _second_pass(batches: Iterable[pa.RecordBatch], seq_len: int, most_open: int) -> Iterator[pa.RecordBatch]:
+    """Pieces that the first pass left in open windows, placed one by one."""
+    packer, out = SumOfSquares(seq_len), _Rows(SECOND + (TaskContext.get().partitionId() << 32))
+    for batch in batches:
+        for doc, start, size, total, ids in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 3, 6)), strict=True):
+            for window in packer.place([(doc, start, total, ids)], size):
+                out.add(window)
+            if packer.open > most_open:
+                for window in string_out(packer.take_open(), seq_len):
+                    out.add(window, strung=True)
+        if len(out.rows) >= 1000:
+            yield out.take()
+    for window in string_out(packer.take_open(), seq_len):
+        out.add(window, strung=True)
+        if len(out.rows) >= 1000:
+            yield out.take()
+    if out.rows:
+        yield out.take()
+
+
+def pack(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seq_len: int = 2048, end_id: int = 1, tokenizer_path: str | None = None, most_open: int = 4096, together: int = 8
+) -> DataFrame:
     """Pack documents; one row for each piece, with its ids as little-endian 32-bit numbers.
 
     ``seq_len`` is a power of two.  ``tokenizer_path`` names a tokenizer file
@@ -253,7 +280,21 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seq_le
         raise ValueError("seq_len must be a power of two")
     bound_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(lambda batches: _packed(batches, seq_len, end_id, tokenizer_path, most_open), PIECES)
+    packed = source.mapInArrow(lambda batches: _first_pass(batches, seq_len, end_id, tokenizer_path, most_open), PIECES + ", open boolean")
+    done, _ = materialise(packed, "packed")
+    task = F.shiftright("sequence_id", 32)
+    tasks = done.filter("open").agg(F.max(task)).first()[0]
+    whole = done.filter("not open").drop("open")
+    if tasks is None:
+        return whole
+    left = done.filter("open").repartitionById(tasks // together + 1, F.floor(task / together).cast("int")).sortWithinPartitions("sequence_id", "offset")
+    again = left.mapInArrow(lambda batches: _second_pass(batches, seq_len, most_open), PIECES + ", open boolean")
+    return whole.unionAll(again.drop("open"))
+
+
+def strung_share(pieces: DataFrame) -> DataFrame:
+    """One row: the share of ids that were strung together and cut, not placed."""
+    return pieces.agg(F.coalesce(F.try_divide(F.sum(F.when(F.col("strung"), F.col("length"))), F.sum("length")), F.lit(0.0)).alias("share"))
 
 
 def piece_digests(pieces: DataFrame) -> DataFrame:

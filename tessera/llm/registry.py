@@ -55,12 +55,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    control = spark.createDataFrame(
-        [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")],
-        "conv_id long, turn long, role string, text string",
-    )
+    """Every conversation as an event log (streamed, edited and regenerated turns), folded, rendered and read back."""
+    said = "</s>[INST] ok [/INST]"
+    control = spark.sql(f"VALUES (-1L, 0L, 'user', '{said}'), (-1L, 1L, 'assistant', '{said}') AS t(conv_id, turn, role, text)")
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(control)
-    return chat.chat_digests(chat.format_chats(chat.turns_as_events(turns)))
+    return chat.chat_digests(chat.format_chats(chat.turns_as_log(turns)))
 
 
 def queries() -> dict:
@@ -97,17 +96,26 @@ _SECRETS = f"""
         SELECT row, start, start + size AS stop, CASE WHEN kind = 'assign' AND inner_size < {secrets.LEAST_ASSIGN} THEN 'weak' WHEN kind = 'bearer' THEN 'weak' ELSE kind END AS kind
         FROM found WHERE NOT (kind = 'access' AND inner_size < {secrets.LEAST_ACCESS})
     ),
+    sides AS (
+        SELECT a.row, a.start, a.stop, a.kind,
+            max(struct_pack(stop := b.stop, start := b.start, kind := b.kind)) FILTER ((b.start, b.stop, b.kind) < (a.start, a.stop, a.kind)) AS back,
+            min(struct_pack(start := b.start, stop := b.stop, kind := b.kind)) FILTER ((b.start, b.stop, b.kind) > (a.start, a.stop, a.kind)) AS ahead
+        FROM parts a JOIN parts b ON a.row = b.row
+            AND ((a.kind IN ('ident', 'endpoint') AND b.kind IN ('assign', 'hex', 'weak')) OR (a.kind = 'weak' AND b.kind IN ('access', 'ident', 'endpoint')))
+        GROUP BY a.row, a.start, a.stop, a.kind
+    ),
     near AS (
-        SELECT DISTINCT a.row, a.start, a.stop, a.kind FROM parts a JOIN parts b ON a.row = b.row AND b.start - a.stop <= 256 AND a.start - b.stop <= 256 AND (a.start, a.stop, a.kind) <> (b.start, b.stop, b.kind)
-        WHERE (a.kind IN ('ident', 'endpoint') AND b.kind IN ('assign', 'hex', 'weak')) OR (a.kind = 'weak' AND b.kind IN ('access', 'ident', 'endpoint'))
+        SELECT row, start, stop, kind, CASE WHEN start - back.stop <= 256 AND (ahead IS NULL OR start - back.stop <= ahead.start - stop) THEN concat_ws(':', back.kind, back.start, back.stop)
+            WHEN ahead.start - stop <= 256 THEN concat_ws(':', ahead.kind, ahead.start, ahead.stop) END AS partner FROM sides
     ),
     spans AS (
-        SELECT row, start, stop, kind, list_position({secrets.KINDS}, kind) AS rank FROM parts WHERE kind IN ('assign', 'access', 'hex')
-        UNION ALL SELECT row, start, stop, kind, list_position({secrets.KINDS}, kind) FROM near
+        SELECT row, start, stop, kind, list_position({secrets.KINDS}, kind) AS rank, NULL AS partner FROM parts WHERE kind IN ('assign', 'access', 'hex')
+        UNION ALL SELECT row, start, stop, kind, list_position({secrets.KINDS}, kind), partner FROM near WHERE partner IS NOT NULL
     )
     SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
         sha256(coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank <= 3), '')) AS base_sha256,
-        coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop), '') AS spans
+        coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop), '') AS spans,
+        coalesce(string_agg(kind || ':' || start || ':' || stop || '>' || partner, ',' ORDER BY start, rank, stop) FILTER (partner IS NOT NULL), '') AS links
     FROM d LEFT JOIN spans ON d.row = spans.row GROUP BY d.row, d.doc_id
 """
 

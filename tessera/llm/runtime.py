@@ -69,22 +69,27 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-#: A key with more than this share of all rows is dealt to several tasks.
-SALTS = 512
+#: A key with more than one in ``SALTS`` of all rows, and more than ``LEAST_HOT``, is dealt to several tasks.
+SALTS, LEAST_HOT = 512, 1000
 
 
 def join_dealt(many: DataFrame, one: DataFrame, on: list[str], counts: DataFrame, total: int, size: str = "n_rows") -> DataFrame:
     """Inner join of ``many`` rows with a table that has one row a key, however hot a key is.
 
     ``counts`` gives the number (``size``) of the rows of each key, ``total``
-    that of all rows.  A key with more than one in ``SALTS`` of them is cut
-    into parts by a hash of its rows, and its row of ``one`` goes to each part.
-    There are at most ``SALTS`` such keys, so their table, which is broadcast,
-    is bounded.
+    that of all rows.  The rows of a hot key are cut into parts by a hash, and
+    its row of ``one`` goes to each part.  There are fewer than ``SALTS`` hot
+    keys, so that their hashes can stand in the plan.
     """
-    parts = F.ceil(F.col(size) * SALTS / max(total, 1)).cast("int")
-    hot = F.broadcast(counts.filter(F.col(size) * SALTS > total).select(*on, parts.alias("_parts")))
-    salt = F.pmod(F.xxhash64(*many.columns), F.coalesce("_parts", F.lit(1))).cast("int")
-    dealt = many.join(hot, on, "left").withColumn("_salt", salt).drop("_parts")
-    copied = one.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    key, most = F.xxhash64(*on), max(total // SALTS, LEAST_HOT)
+    tiers: dict[int, list[int]] = {}
+    for r in counts.filter(F.col(size) > most).select(key.alias("k"), F.col(size).alias("n")).collect():
+        tiers.setdefault(1 << (-(-r["n"] // most) - 1).bit_length(), []).append(r["k"])
+    if not tiers:
+        return many.join(one, on)
+    parts = F.lit(1)
+    for number, keys in sorted(tiers.items()):
+        parts = F.when(key.isin(keys), number).otherwise(parts)
+    dealt = many.withColumn("_salt", F.pmod(F.xxhash64(*many.columns), parts).cast("int"))
+    copied = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
     return dealt.join(copied, [*on, "_salt"]).drop("_salt")

@@ -12,9 +12,10 @@ at most ``reach`` code points away in the same document:
 * ``ident`` and ``endpoint`` need a secret (assign, hex or weak);
 * ``weak`` needs an identifier (access, ident) or an endpoint.
 
-This is an interval semi-join.  It is done by running over a document's parts
-in order and keeping the last end and next start of each class, so its cost is
-that of a sort and no pairs arise.  Positions are code points, ends exclusive.
+This is an interval semi-join that gives the nearest partner as the link.  It
+is done by running over a document's parts in order and keeping the last end
+and next start of each class, so its cost is that of a sort and no pairs
+arise.  Positions are code points, ends exclusive.
 Texts are read once, on the map side; only positions are shuffled, by row.
 
 Defined results: null text is empty; rows that repeat are reported once each;
@@ -56,7 +57,7 @@ def _parts(text: Column, kind: str, pattern: str, group: int) -> Column:
 
 
 def scan_secrets(docs: DataFrame, reach: int = 256) -> DataFrame:
-    """One row per document: doc_id, base and linked spans, in order of start and kind."""
+    """One row per document: doc_id, base and linked spans and links (span, partner), in order of start and kind."""
     text = F.coalesce(F.col("text"), F.lit(""))
     parts = F.concat(
         _parts(text, "assign", ASSIGN, 2),
@@ -81,34 +82,39 @@ def scan_secrets(docs: DataFrame, reach: int = 256) -> DataFrame:
     back = W.partitionBy("row").orderBy(F.desc("start"), F.desc("end"), F.desc("kind"))
     before, after = order.rowsBetween(W.unboundedPreceding, -1), back.rowsBetween(W.unboundedPreceding, -1)
 
-    def near(*kinds: str) -> Column:
+    def nearest(*kinds: str) -> Column:
+        """The nearest part of these kinds within reach; the one before if both are as near."""
         of = F.col("kind").isin(*kinds)
-        last = F.max(F.when(of, F.col("end"))).over(before)
-        first = F.min(F.when(of, F.col("start"))).over(after)
-        return F.coalesce(F.col("start") - last <= reach, F.lit(False)) | F.coalesce(first - F.col("end") <= reach, F.lit(False))
-
-    secret, other = near("assign", "hex", "weak"), near("access", "ident", "endpoint")
-    linked = F.when(F.col("kind").isin("ident", "endpoint"), secret).when(F.col("kind") == "weak", other)
+        last = F.max(F.when(of, F.struct("end", "start", "kind"))).over(before)
+        first = F.min(F.when(of, F.struct("start", "end", "kind"))).over(after)
+        back, ahead = F.col("start") - last["end"], first["start"] - F.col("end")
+        as_link = [F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")) for x in (last, first)]
+        is_back = (back <= reach) & (ahead.isNull() | (back <= ahead))
+        return F.when(is_back, as_link[0]).when(ahead <= reach, as_link[1])
+
+    secret, other = nearest("assign", "hex", "weak"), nearest("access", "ident", "endpoint")
+    partner = F.when(F.col("kind").isin("ident", "endpoint"), secret).when(F.col("kind") == "weak", other)
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     span = F.struct(F.col("start"), rank.alias("rank"), F.col("end"), F.col("kind"))
-    shown = placed.withColumn("linked", linked).select(
-        "row", "doc_id", F.when(rank <= 3, span).alias("base"), F.when(F.col("linked"), span).alias("linked")
-    )
-    return (
-        shown.groupBy("row", "doc_id")
-        .agg(F.sort_array(F.collect_list("base")).alias("base"), F.sort_array(F.collect_list("linked")).alias("linked"))
-        .drop("row")
-    )
+    shown = placed.withColumn("partner", partner).select(
+        "row", "doc_id", F.when(rank <= 3, span).alias("base"),
+        F.when(F.col("partner").isNotNull(), span).alias("linked"), F.when(F.col("partner").isNotNull(), F.struct(span.alias("span"), "partner")).alias("link"),
+    )
+    listed = [F.sort_array(F.collect_list(c)).alias(n) for c, n in (("base", "base"), ("linked", "linked"), ("link", "links"))]
+    return shown.groupBy("row", "doc_id").agg(*listed).drop("row")
 
 
 def secret_digests(found: DataFrame) -> DataFrame:
-    """Counts of base spans, their digest, and all spans as text."""
+    """Counts of base spans, their digest, and all spans and links as text."""
 
     def count(kind: str) -> Column:
         return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
 
+    def shown(x: Column) -> Column:
+        return F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
+
     def listed(spans: Column) -> Column:
-        return F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
+        return F.concat_ws(",", F.transform(spans, shown))
 
     return found.select(
         "doc_id",
@@ -117,4 +123,5 @@ def secret_digests(found: DataFrame) -> DataFrame:
         count("hex").alias("n_hex"),
         F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
         listed(F.sort_array(F.concat("base", "linked"))).alias("spans"),
+        F.concat_ws(",", F.transform("links", lambda x: F.concat(shown(x["span"]), F.lit(">"), shown(x["partner"])))).alias("links"),
     )

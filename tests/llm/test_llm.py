@@ -388,6 +388,7 @@ def test_near_copies_match_brute_force(spark, monkeypatch, partners, block, salt
     monkeypatch.setattr(minhash, "PARTNERS", partners)
     monkeypatch.setattr(minhash, "BLOCK", block)
     monkeypatch.setattr(runtime, "SALTS", salts)
+    monkeypatch.setattr(runtime, "LEAST_HOT", 1000 if salts == 512 else 2)
     rng = random.Random(10)
     rows = []
     for g in range(12):
@@ -447,18 +448,29 @@ def test_secrets_match_python_and_link(spark):
     assert Counter((r["doc_id"], r["base_sha256"]) for r in out) == expected
     far = "x" * 400
     rows = [(1, "user=bob"), (2, "user=bob token=short"), (3, f"user=bob {far} token=short"), (4, "bearer abcdefghijk http://a.b"), (5, "http://a.b")]
-    out = {r["doc_id"]: r["spans"] for r in secrets.secret_digests(secrets.scan_secrets(docs_of(spark, rows))).collect()}
-    assert out == {1: "", 2: "ident:0:8,weak:9:20", 3: "", 4: "weak:0:18,endpoint:19:29", 5: ""}
+    rows.append((6, "http://a.b user=bob user=al token=short http://c.d/e"))
+    out = {r["doc_id"]: (r["spans"], r["links"]) for r in secrets.secret_digests(secrets.scan_secrets(docs_of(spark, rows))).collect()}
+    assert out == {
+        1: ("", ""), 2: ("ident:0:8,weak:9:20", "ident:0:8>weak:9:20,weak:9:20>ident:0:8"), 3: ("", ""),
+        4: ("weak:0:18,endpoint:19:29", "weak:0:18>endpoint:19:29,endpoint:19:29>weak:0:18"), 5: ("", ""),
+        6: (
+            "endpoint:0:10,ident:11:19,ident:20:27,weak:28:39,endpoint:40:52",
+            "endpoint:0:10>weak:28:39,ident:11:19>weak:28:39,ident:20:27>weak:28:39,weak:28:39>ident:20:27,endpoint:40:52>weak:28:39",
+        ),
+    }
 
 
 # ---- 9 packing
 
 
-def test_packing_round_trip(spark):
+@pytest.mark.parametrize(("parts", "most_open", "together"), [(2, 4096, 8), (7, 3, 2)])
+def test_packing_round_trip(spark, parts, most_open, together):
     rng = random.Random(12)
     rows = [(i, sentence(rng, rng.choice([0, 1, 5, 90, 700, 1500]))) for i in range(150)] + ODD + [(950, "It's <|endoftext|> Ünïcode, A1b2. x!? " * 30)]
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    out = packing.pack(docs_of(spark, rows).coalesce(2)).collect()
+    packed = packing.pack(docs_of(spark, rows).repartition(parts), most_open=most_open, together=together)
+    out = packed.collect()
+    assert sorted(map(str, out)) == sorted(map(str, packed.collect()))
     assert {(r["doc_id"], r["doc_tokens"]) for r in out} == {(i, len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in rows}
     for i, t in {r for r in rows if r[0] not in (None, 907)}:
         pieces = sorted((r["start"], r["length"], bytes(r["ids"])) for r in out if r["doc_id"] == i)
@@ -471,6 +483,8 @@ def test_packing_round_trip(spark):
         parts.sort()
         total = sum(p[1] for p in parts)
         assert [p[0] for p in parts] == list(np.cumsum([0, *(p[1] for p in parts[:-1])])) and total <= 2048 and total & (total - 1) == 0
+    share = packing.strung_share(packed).first()["share"]
+    assert share == sum(r["length"] for r in out if r["strung"]) / sum(r["length"] for r in out)
     digest = packing.piece_digests(packing.pack(docs_of(spark, rows))).filter("doc_id = 1").orderBy("start").collect()
     ids = np.array(tokenizer.encode(rows[1][1], add_special_tokens=False).ids + [1], dtype="<u4")
     assert [r["ids_crc32"] for r in digest] == [zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) for r in digest]
@@ -481,7 +495,7 @@ def test_packing_round_trip(spark):
 
 def test_placement_minimises_squares():
     rng = random.Random(13)
-    p = packing.SumOfSquares(64, 10_000)
+    p = packing.SumOfSquares(64)
     for k in range(300):
         size = rng.randint(1, 63)
         before = p.counts.copy()
@@ -497,10 +511,16 @@ def test_placement_minimises_squares():
         choices = [0] + [h for h in range(1, 64 - size + 1) if before[h] > 0]
         assert total(p.level_for(size)) == min(map(total, choices))
         list(p.add(k, bytes(4 * size)))
-    small = packing.SumOfSquares(64, 5)
-    ids = sum(len(x[2]) // 4 for k in range(200) for w in small.add(k, bytes(4 * 40)) for x in w)
-    ids += sum(len(x[2]) // 4 for w in small.level_out(last=True) for x in w)
-    assert ids == 8000
+    for seq_len, n in ((64, 200), (64, 0), (8, 3)):
+        windows = [[(k, 0, 5, bytes(4 * 5))] for k in range(n)]
+        sizes = [sum(len(x[3]) // 4 for x in w) for w in packing.string_out(windows, seq_len)]
+        assert sum(sizes) == 5 * n and all(x & (x - 1) == 0 for x in sizes) and sum(x < seq_len for x in sizes) <= seq_len.bit_length()
+
+
+def test_open_windows_of_all_partitions_are_placed(spark):
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a "), (F.pmod(F.xxhash64("id"), F.lit(60)) + 1).cast("int")).alias("text"))
+    shares = [packing.strung_share(packing.pack(docs.repartition(24), seq_len=128, together=t)).first()["share"] for t in (1, 24)]
+    assert shares[1] < 0.04 and shares[1] < shares[0] / 3
 
 
 # ---- 10 chats
@@ -521,14 +541,36 @@ def test_chat_events_and_round_trip(spark):
     assert chat.chat_digests(chat.format_chats(events.limit(0))).count() == 0
 
 
-def test_chat_digests_match_hashlib(spark):
+def test_random_logs_match_a_plain_fold(spark):
+    rng = random.Random(17)
+    log, seq = [], 0
+    for _ in range(900):
+        seq += 1
+        kind = rng.choice(["message", "delta", "delta", "delta", "edit", "regenerate", "odd"])
+        log.append((rng.randrange(12), seq, rng.randrange(5), kind, rng.choice([None, "user", "assistant"]), rng.choice([None, "", "a", "b<", "[c"]) ))
+    expected = {}
+    for conv, _, msg, kind, role, text in log:
+        own = expected.setdefault(conv, {}).setdefault(msg, [None, ""])
+        own[0] = own[0] or role
+        own[1] = own[1] + (text or "") if kind == "delta" else "" if kind == "regenerate" else text or ""
+    rng.shuffle(log)
+    events = spark.createDataFrame(log, "conv_id long, seq long, msg long, kind string, role string, text string")
+    got = {}
+    for r in sorted(chat.read_back(chat.format_chats(events)).collect(), key=lambda r: (r["conv_id"], r["i"])):
+        got.setdefault(r["conv_id"], []).append([r["role"], r["text"]])
+    assert got == {c: [[r or "", t] for r, t in m.values()] for c, m in expected.items()}
+
+
+@pytest.mark.parametrize("logged", [chat.turns_as_log, lambda turns: chat.turns_as_log(turns, piece=3)])
+def test_chat_digests_match_hashlib(spark, logged):
     rng = random.Random(14)
     rows = [(c, t, rng.choice(["user", "assistant", "system"]), "".join(rng.choice("ab <[\\]/s>é🙂\n") for _ in range(rng.randint(0, 40))) if rng.random() > 0.1 else None) for c in range(40) for t in range(rng.randint(1, 9))]
-    rows += [(0, 0, "user", "again"), (0, 0, "user", "again")]
+    rows += [(0, 0, "user", "again"), (0, 0, "user", "again"), (3, None, "user", "no turn")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {r["conv_id"]: r for r in chat.chat_digests(chat.format_chats(chat.turns_as_events(df))).collect()}
+    assert {r["kind"] for r in logged(df).select("kind").distinct().collect()} == {"message", "delta", "edit", "regenerate"}
+    got = {r["conv_id"]: r for r in chat.chat_digests(chat.format_chats(logged(df))).collect()}
     for c in range(40):
-        own = sorted(((t, r, x) for k, t, r, x in rows if k == c), key=lambda r: (r[0], r[1], r[2] is not None, r[2] or ""))
+        own = sorted(((t, r, x) for k, t, r, x in rows if k == c), key=lambda r: (-1 if r[0] is None else r[0], r[1], r[2] is not None, r[2] or ""))
         loss = "".join(x or "" for _, r, x in own if r == "assistant")
         assert got[c]["n_turns"] == len(own)
         assert got[c]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest() and got[c]["loss_chars"] == len(loss)
