@@ -1,4 +1,9 @@
-"""Corpus pipeline: each stage's result is written as Parquet and read again as the next one's documents."""
+"""Corpus pipeline: each stage's result is written as Parquet and read again as the next one's documents.
+
+Defined results of all stages: rows are judged one by one, so ids may repeat
+or be null; null texts are empty and stay; an empty table gives no rows; extra
+columns are kept as they are, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontam, line_dedup, minhash, packing, quality, toxicity
-from tessera.llm.runtime import materialise, read
+from tessera.llm.runtime import delete, materialise, read
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,14 +21,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later occurrences of three-line windows go; a document of which nothing is left goes too."""
-    done = line_dedup.dedup_lines(docs)
-    left = done.filter((F.col("n_removed") == 0) | (F.trim("text") != ""))
-    text_of = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    return left.select(*[text_of.get(c, F.col(c)).alias(c) for c in docs.columns])
+    count = "_lines_removed"
+    done = line_dedup.dedup_lines(docs, count=count)
+    left = done.filter((F.col(count) == 0) | (F.trim("text") != ""))
+    n_chars = F.when(F.col(count) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
+    return left.select(*[(n_chars if c == "n_chars" else F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays (five words, similarity 0.8)."""
+    """One row of each group of near copies stays (five words, similarity 0.8)."""
     return minhash.one_of_each(docs)
 
 
@@ -51,7 +57,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token sequences of ``documents`` after all stages."""
-    docs = read(spark, sf_dir, "documents")
+    docs, last = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs, _ = materialise(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        docs, path = materialise(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        if last:
+            delete(spark, last)  # what it was made from is no longer needed
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)
