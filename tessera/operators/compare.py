@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The compared keys of a configuration.
 CONFIG_KEYS = ["vocab_size", "hidden_size", "num_layers", "num_heads", "num_experts", "intermediate_size"]
 # Weights of the global score.
 SCORE_WEIGHTS = {"config": 0.20, "architecture": 0.25, "tensors": 0.20, "shapes": 0.15, "dtypes": 0.10, "sharding": 0.10}
@@ -118,13 +119,28 @@ def global_score(scores: dict[str, Column], blocking: Column, compat: bool = Fal
     return [percent.alias("percent"), label.alias("status"), (percent >= 80).alias("acceptable") if not compat else ((percent >= 80) & (blocking == 0)).alias("acceptable")]
 
 
-def first_rule(rows: DataFrame, rules: DataFrame, value: str, *outputs: str) -> DataFrame:
+def first_rule(rows: DataFrame, rules: DataFrame, value: str, *outputs: str, most_rules: int = 1000) -> DataFrame:
     """Range lookup (inventory E16): of the rules (ord, lo, hi, ...) whose span holds the value, the first counts.
 
-    The rules are a small configuration; their least ``ord`` is found by one
-    aggregation over the rows' distinct values, which are joined back.
+    The rules are a configuration of at most ``most_rules`` rows (more raise).
+    Their ends cut the line into disjoint pieces, each with its first rule;
+    a value finds its piece by an expression, and pieces are an equi-join.
     """
-    values = rows.select(value).distinct()
-    hits = values.join(rules, F.col(value).between(F.col("lo"), F.col("hi")))
-    chosen = hits.groupBy(value).agg(F.min(F.struct("ord", *outputs)).alias("rule"))
-    return rows.join(chosen, value, "left").select(*rows.columns, *[F.col(f"rule.{c}").alias(c) for c in outputs])
+    spans = rules.select("ord", "lo", "hi").filter("lo <= hi").limit(most_rules + 1).collect()
+    if len(spans) > most_rules:
+        raise ValueError(f"more than {most_rules} rules")
+    ends = sorted({e for r in spans for e in (r["lo"], r["hi"])})
+    pieces = []  # 2 i + 1 is the i-th end itself, 2 i what lies before it
+    for i, end in enumerate(ends):
+        for piece, holds in ((2 * i, lambda r: r["lo"] < end <= r["hi"]), (2 * i + 1, lambda r: r["lo"] <= end <= r["hi"])):
+            hit = min((r["ord"] for r in spans if holds(r)), default=None)
+            if hit is not None:
+                pieces.append((piece, hit))
+    spark = rows.sparkSession
+    table = spark.createDataFrame(pieces, "_piece int, _ord long") if pieces else spark.createDataFrame([], "_piece int, _ord long")
+    first = rules.groupBy(F.col("ord").cast("long").alias("_ord")).agg(F.min(F.struct(*outputs)).alias("_rule"))
+    chosen = table.join(first, "_ord").drop("_ord")
+    x, line = F.col(value), F.array(*[F.lit(e) for e in ends]) if ends else F.array().cast("array<double>")
+    place = 2 * F.size(F.filter(line, lambda e: e < x)) + F.coalesce(F.array_contains(line, x), F.lit(False)).cast("int")
+    joined = rows.withColumn("_piece", F.when(x.isNotNull(), place)).join(F.broadcast(chosen), "_piece", "left")
+    return joined.select(*rows.columns, *[F.col(f"_rule.{c}").alias(c) for c in outputs])

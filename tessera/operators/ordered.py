@@ -24,17 +24,53 @@ def value_bucket(x: Column, bits: int = 12) -> Column:
     size = F.abs(x)
     power = F.floor(F.log2(F.when(size > 0, size)))
     step = power * (1 << bits) + F.floor(size / F.pow(F.lit(2.0), power) * (1 << bits)) - (1 << bits) + (1 << (bits + 11))
+    step = F.when(size == float("inf"), 1 << (bits + 13)).otherwise(step)
     return F.when(size == 0, 0).when(x < 0, -step).otherwise(step).cast("bigint")
 
 
-def with_offsets(counted: DataFrame, number: Column, *by: str) -> DataFrame:
-    """Adds to rows with ``_bucket`` the sum of ``number`` in lower buckets (``_offset``) and in all (``n``) of their group."""
-    sums = counted.groupBy(*by, "_bucket").agg(F.sum(number).alias("_s"))
+def join_groups(rows: DataFrame, other: DataFrame, *by: str) -> DataFrame:
+    """Inner join by columns of which null is a value like any other."""
+    renamed = other.select(*[F.col(c).alias(f"_by_{c}" if c in by else c) for c in other.columns])
+    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
+    return rows.join(renamed, same).drop(*[f"_by_{c}" for c in by])
+
+
+def _bucket_offsets(rows: DataFrame, number: Column, *by: str) -> DataFrame:
+    """For each bucket of a group the sum of ``number`` in it (``_s``), in lower ones (``_offset``) and in all (``n``)."""
+    sums = rows.groupBy(*by, "_bucket").agg(F.sum(number).alias("_s"))
     keys = list(by) or [F.lit(1)]
     below = F.sum("_s").over(W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1))
     total = F.sum("_s").over(W.partitionBy(*keys))
-    offsets = sums.select(*by, "_bucket", F.coalesce(below, F.lit(0)).alias("_offset"), total.alias("n"))
-    return counted.join(offsets, [*by, "_bucket"])
+    return sums.select(*by, "_bucket", "_s", F.coalesce(below, F.lit(0)).alias("_offset"), total.alias("n"))
+
+
+def with_offsets(counted: DataFrame, number: Column, *by: str) -> DataFrame:
+    """Adds to rows with ``_bucket`` the sum of ``number`` in lower buckets (``_offset``) and in all (``n``) of their group."""
+    return join_groups(counted, _bucket_offsets(counted, number, *by).drop("_s"), *by, "_bucket")
+
+
+def exact_quantiles(df: DataFrame, x: Column, probabilities: list[float], *by: str) -> DataFrame:
+    """``q``, the array of exact quantiles with linear interpolation of every group that has values.
+
+    Values are counted by buckets of near values first; only the buckets that
+    hold a wanted rank are then ordered.  No task sees a group's values at
+    once, and what is shuffled are counts and those few buckets.
+    """
+    rows = df.select(*by, x.alias("_x")).filter(F.col("_x").isNotNull() & ~F.isnan("_x")).withColumn("_bucket", value_bucket(F.col("_x")))
+    places = [F.lit(p) * (F.col("n") - 1) for p in probabilities]
+    ranks = [f(place).cast("bigint") for place in places for f in (F.floor, F.ceil)]
+    wanted = F.exists(F.array(*ranks), lambda r: (r >= F.col("_offset")) & (r < F.col("_offset") + F.col("_s")))
+    near = join_groups(rows, _bucket_offsets(rows, F.lit(1), *by).filter(wanted).drop("_s"), *by, "_bucket")
+    counted = near.groupBy(*by, "_bucket", "_x", "_offset", "n").agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(W.partitionBy(*by, "_bucket").orderBy("_x").rowsBetween(W.unboundedPreceding, 0)) + F.col("_offset")
+    ranked = counted.withColumn("_upto", upto).withColumn("_before", F.col("_upto") - F.col("_c"))
+    held = [F.max(F.when((F.col("_before") <= r) & (r < F.col("_upto")), F.col("_x"))) for r in ranks]
+    got = ranked.groupBy(*by, "n").agg(*[h.alias(f"_h{i}") for i, h in enumerate(held)])
+    between = []
+    for i, place in enumerate(places):
+        low, high, share = F.col(f"_h{2 * i}"), F.col(f"_h{2 * i + 1}"), place - F.floor(place)
+        between.append(F.when(share == 0, low).otherwise(low * (1 - share) + high * share))
+    return got.select(*by, F.array(*between).alias("q"))
 
 
 def ranked_counts(df: DataFrame, column: str, *by: str) -> DataFrame:
@@ -155,13 +191,18 @@ def lag_correlation(df: DataFrame, column: str, index: str, block: int, *by: str
 
 
 def energy(spectrum: DataFrame, sigma: str, *by: str) -> DataFrame:
-    """Cumulative share of squared singular values in falling order: rank, share."""
-    keys = list(by) or [F.lit(1)]
-    order = W.partitionBy(*keys).orderBy(F.desc(sigma))
+    """Cumulative share of squared singular values in falling order: rank, share.
+
+    A group's order is cut into buckets of near values, as for ranks.
+    """
     s2 = F.col(sigma) * F.col(sigma)
-    total = F.sum(s2).over(W.partitionBy(*keys))
-    share = F.when(total < 1e-300, 1.0).otherwise(F.try_divide(F.sum(s2).over(order.rowsBetween(W.unboundedPreceding, 0)), total))
-    return spectrum.select(*by, sigma, F.row_number().over(order).alias("rank"), share.alias("share"))
+    rows = spectrum.select(*by, sigma).withColumn("_bucket", value_bucket(-F.col(sigma).cast("double")))
+    first = with_offsets(rows, F.lit(1), *by).withColumnRenamed("_offset", "_rank").drop("n")
+    placed = with_offsets(first, s2, *by)
+    order = W.partitionBy(*by, "_bucket").orderBy(F.desc(sigma))
+    sums = F.sum(s2).over(order.rowsBetween(W.unboundedPreceding, 0)) + F.col("_offset")
+    share = F.when(F.col("n") < 1e-300, 1.0).otherwise(F.try_divide(sums, F.col("n")))
+    return placed.select(*by, sigma, (F.row_number().over(order) + F.col("_rank")).cast("int").alias("rank"), share.alias("share"))
 
 
 def effective_rank(energies: DataFrame, threshold: float, *by: str, strict: bool = False) -> DataFrame:

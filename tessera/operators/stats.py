@@ -2,6 +2,7 @@
 
 Every function takes a DataFrame, a value column and grouping columns, and is
 one aggregation: partial sums on the map side, one shuffle of group keys.
+Quantiles are exact and take two passes (``ordered.exact_quantiles``).
 Null values are skipped; NaN is left out and counted on its own.
 """
 
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.ordered import exact_quantiles, join_groups
+
 
 def finite(x: Column) -> Column:
     """The value, or null for NaN."""
@@ -50,9 +53,16 @@ def quantiles(df: DataFrame, column: str, probabilities: list[float], *by: str)
     if any(not 0 <= p <= 1 for p in probabilities):
         raise ValueError("probabilities lie in [0, 1]")
     x = finite(F.col(column).cast("double"))
-    got = df.groupBy(*by).agg(F.percentile(x, F.array(*map(F.lit, probabilities))).alias("q"))
+    groups = df.groupBy(*by).agg(F.count(x).alias("_n"))
     names = [f"p{p * 100:g}".replace(".", "_") for p in probabilities]
-    return got.select(*by, *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
+    return with_quantiles(groups, exact_quantiles(df, x, probabilities, *by), *by).select(*by, *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
+
+
+def with_quantiles(groups: DataFrame, found: DataFrame, *by: str) -> DataFrame:
+    """Groups with the array ``q`` of their quantiles, null where a group has no values."""
+    renamed = found.select(*[F.col(c).alias(f"_by_{c}") for c in by], "q")
+    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
+    return groups.join(renamed, same, "left") if by else groups.join(F.broadcast(found), F.lit(True), "left")  # one row each
 
 
 def norms(df: DataFrame, column: str, *by: str) -> DataFrame:
@@ -63,9 +73,8 @@ def norms(df: DataFrame, column: str, *by: str) -> DataFrame:
 def tails(df: DataFrame, column: str, *by: str) -> DataFrame:
     """p99, p99.9, p99.99 and the largest magnitude in standard deviations."""
     x = finite(F.col(column).cast("double"))
-    got = df.groupBy(*by).agg(
-        F.percentile(x, F.array(F.lit(0.99), F.lit(0.999), F.lit(0.9999))).alias("q"), F.max(F.abs(x)).alias("m"), F.stddev_pop(x).alias("s")
-    )
+    spread = df.groupBy(*by).agg(F.max(F.abs(x)).alias("m"), F.stddev_pop(x).alias("s"))
+    got = with_quantiles(spread, exact_quantiles(df, x, [0.99, 0.999, 0.9999], *by), *by)
     share = F.when(F.col("s") > 0, F.try_divide("m", "s")).otherwise(0.0)
     return got.select(*by, F.col("q")[0].alias("p99"), F.col("q")[1].alias("p99_9"), F.col("q")[2].alias("p99_99"), share.alias("max_over_std"))
 
@@ -127,6 +136,6 @@ def outliers_by_quantile(df: DataFrame, column: str, q: float, *by: str, compat:
     if not 0.5 < q < 1:
         raise ValueError("q lies in (0.5, 1)")
     x = F.col(column).cast("double")
-    limit = df.groupBy(*by).agg(F.percentile(x if compat else F.abs(x), F.lit(q)).alias("_limit"))
-    joined = df.join(limit, list(by)) if by else df.crossJoin(F.broadcast(limit))
+    limit = exact_quantiles(df, x if compat else F.abs(x), [q], *by).select(*by, F.col("q")[0].alias("_limit"))
+    joined = join_groups(df, limit, *by) if by else df.crossJoin(F.broadcast(limit))
     return joined.filter(F.abs(x) > F.col("_limit")).drop("_limit")
