@@ -172,3 +172,13 @@ def normalized_depth(layer: Column, layers: Column) -> Column:
 
 def lerp(a: Column, b: Column, t: Column) -> Column:
     return a + (b - a) * t
+
+
+# What the exit codes 0 to 6 mean.
+EXIT_CODES = ["Succès", "Erreur générale", "Argument invalide", "Modèle invalide", "Erreur d'entrée/sortie", "Validation échouée", "Comparaison incompatible"]
+
+
+def exit_description(code: Column) -> Column:
+    """Short description of an exit code."""
+    known = F.get(F.array(*map(F.lit, EXIT_CODES)), code.cast("int"))
+    return F.coalesce(known, F.lit("Code inconnu"))

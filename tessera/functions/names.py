@@ -176,3 +176,18 @@ def shared_expert(layer: Column, projection: str, numbered: bool = False) -> Col
     if numbered:
         return layer_tensor("layers.{}.ffn.shared_experts." + {"up": "w1", "gate": "w3", "down": "w2"}[projection] + ".weight", layer)
     return layer_tensor("model.layers.{}.mlp.shared_experts." + projection + "_proj.weight", layer)
+
+
+# What a tensor role is called in reports.
+ROLE_LABELS = {
+    "Embedding": "embeddings", "AttentionQuery": "attention Q", "AttentionKey": "attention K", "AttentionValue": "attention V",
+    "AttentionOutput": "attention O", "MlpUp": "MLP up", "MlpGate": "MLP gate", "MlpDown": "MLP down", "MoeRouter": "routeur MoE",
+    "MoeSharedExpert": "expert partagé", "MoeRoutedExpert": "expert routé", "Norm": "normalisation", "LmHead": "tête de langage", "Mtp": "MTP",
+    "HyperConnection": "hyper-connexion", "AttentionIndexer": "indexeur d'attention", "Other": "autre",
+}
+
+
+def role_label(role: Column) -> Column:
+    """Display label of a tensor role; unknown roles are ``autre``."""
+    pairs = F.create_map(*[F.lit(x) for kv in ROLE_LABELS.items() for x in kv])
+    return F.coalesce(F.try_element_at(pairs, role), F.lit(ROLE_LABELS["Other"]))

@@ -10,6 +10,7 @@ generated code and any row can be made on its own.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -112,6 +113,32 @@ def stream_values(chunks: DataFrame, kind: str = "normal", p1: float = 0.0, p2:
     return rows.select("name", "chunk_id", (F.col("start") + F.col("i")).alias("idx"), "val")
 
 
+def xorshift_normals(seeds: DataFrame, count: int) -> DataFrame:
+    """key, idx, val: ``count`` normals for each row (key, seed) by a 64-bit xorshift register and Box-Muller.
+
+    All rows of a batch advance together.
+    """
+
+    def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, max(1, TOGETHER // max(count, 1))):
+                part = batch.slice(lo, max(1, TOGETHER // max(count, 1)))
+                state = part.column(1).to_numpy().view(np.uint64).copy()
+                out = np.empty((part.num_rows, count))
+                for i in range(count):
+                    state ^= state << np.uint64(13)
+                    state ^= state >> np.uint64(7)
+                    state ^= state << np.uint64(17)
+                    second = state + np.uint64(i * 6364136223846793005 % (1 << 64))
+                    u, v = ((x & np.uint64(0xFFFFFFFF)).astype(np.float64) / 0xFFFFFFFF for x in (state, second))
+                    out[:, i] = np.sqrt(-2 * np.log(np.maximum(u, 1e-10))) * np.cos(2 * np.pi * v)
+                at = pa.array(np.arange(part.num_rows + 1) * count, pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(at, pa.array(out.reshape(-1)))], ["key", "vals"])
+
+    source = seeds.select(F.col("key").cast("long"), F.col("seed").cast("long"))
+    return source.mapInArrow(make, "key long, vals array<double>").select("key", F.posexplode("vals").alias("idx", "val"))
+
+
 def counter_uniform(seed: int, *key: Column | str) -> Column:
     """A uniform number in (0, 1) that depends on the seed and key alone."""
     h = F.xxhash64(F.lit(seed), *key)
@@ -145,6 +172,41 @@ def correlated_columns(spark: SparkSession, rows: int, cols: int, rho: float, st
     return grid(spark, rows, cols).withColumn("val", std * (rho * z + (1 - rho * rho) ** 0.5 * noise))
 
 
+def correlated_draws(spark: SparkSession, factor: DataFrame, n: int, dimension: int, seed: int) -> DataFrame:
+    """row, col, val: ``n`` draws of a normal vector, mixed by a lower factor (row, col, val) of its covariance."""
+    from tessera.operators.linalg import product
+
+    return product(counter_values(grid(spark, n, dimension), Normal(), seed, "idx").select("row", "col", "val"), factor)
+
+
+def local_draws(spark: SparkSession, sizes: list[int], rhos: list[float], n: int, seed: int) -> DataFrame:
+    """row, col, val: ``n`` draws whose columns are equicorrelated within blocks and independent across them."""
+    from tessera.operators.linalg import cholesky, equicorrelation
+
+    return correlated_draws(spark, cholesky(equicorrelation(spark, sizes, rhos)), n, sum(sizes), seed)
+
+
+def block_values(spark: SparkSession, blocks: list[tuple[int, Distribution, list[float] | None]], seed: int) -> DataFrame:
+    """idx, val: consecutive blocks of (size, distribution, correlations within it or None).
+
+    Correlations are the upper triangle of the block's matrix, row by row.
+    """
+    from tessera.operators.linalg import cholesky, pairwise
+
+    start, parts = 0, []
+    for size, distribution, rhos in blocks:
+        if size <= 0:
+            raise ValueError("a block has at least one element")
+        own = counter_values(spark.range(size).select((F.col("id") + start).alias("idx")), distribution, seed, "idx")
+        if rhos:
+            drawn = own.select(F.lit(0).cast("long").alias("row"), (F.col("idx") - start).alias("col"), "val")
+            factor = cholesky(pairwise(spark, size, rhos)).select(F.col("row").alias("_r"), "col", F.col("val").alias("_w"))
+            own = drawn.join(factor, "col").groupBy((F.col("_r") + start).alias("idx")).agg(F.sum(F.col("val") * F.col("_w")).alias("val"))
+        parts.append(own.select("idx", "val"))
+        start += size
+    return reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], "idx long, val double")
+
+
 # ---- transforms of (row, col, idx, val) or (idx, val) tables
 
 
@@ -213,15 +275,46 @@ def budget(total: int, header: int, metadata: int, margin_percent: float) -> int
     return max(0, total - header - metadata - int(total * margin_percent / 100))
 
 
+# Bytes of a file's head and of one tensor's entry, and what metadata files take.
+HEAD_BYTES, ENTRY_BYTES, METADATA_BYTES = 16, 88, 24 * 1024
+
+
+def header_estimate(tensors: Column) -> Column:
+    """Bytes that the headers of so many tensors are expected to take."""
+    return HEAD_BYTES + ENTRY_BYTES * tensors
+
+
+def budget_left(total: Column, header: Column, metadata: Column, margin: float = 0.02) -> Column:
+    """Bytes left for values, 0 at least."""
+    return F.greatest(F.lit(0).cast("bigint"), total - header - metadata - F.floor(total * F.lit(margin)))
+
+
+def budget_kept(actual: Column, target: Column, tolerance: float) -> Column:
+    """Whether a size is within a relative tolerance of its target; a target of 0 asks for nothing."""
+    return F.when(target == 0, True).otherwise(F.abs(actual - target) / target <= tolerance)
+
+
+def budget_suffices(mode: Column, actual: Column, required: Column) -> Column:
+    """Only the full structure must fit; the constrained modes take what there is."""
+    return (mode != "full_structural") | (actual >= required)
+
+
 # ---- numeric forms of values
 
 
-def round_robin_amplitudes(df: DataFrame, mask: Column, specs: DataFrame, index: str = "idx", column: str = "val") -> DataFrame:
-    """The k-th row that the mask marks gets the k-th amplitude (ord, kind, amount): add or multiply."""
+def round_robin_amplitudes(df: DataFrame, mask: Column, specs: DataFrame, index: str = "idx", column: str = "val", block: int = 1 << 16) -> DataFrame:
+    """The k-th row that the mask marks, in order of a whole-numbered index, gets the amplitude ``ord`` = k: add or multiply.
+
+    Marks are counted by blocks of the index, so a task orders one block only.
+    """
     from pyspark.sql import Window as W
 
-    number = F.sum(mask.cast("int")).over(W.orderBy(index).rowsBetween(W.unboundedPreceding, 0))
-    marked = df.withColumn("_k", F.when(mask, number - 1))
-    joined = marked.join(specs.select(F.col("ord").alias("_k"), "kind", "amount"), "_k", "left")
+    from tessera.operators.ordered import with_offsets
+
+    marked = df.withColumn("_hit", F.coalesce(mask, F.lit(False)).cast("int")).withColumn("_bucket", F.floor(F.col(index) / block))
+    placed = with_offsets(marked, F.col("_hit"))
+    number = F.sum("_hit").over(W.partitionBy("_bucket").orderBy(index).rowsBetween(W.unboundedPreceding, 0)) + F.col("_offset")
+    numbered = placed.withColumn("_k", F.when(F.col("_hit") == 1, number - 1)).drop("_hit", "_bucket", "_offset", "n")
+    joined = numbered.join(specs.select(F.col("ord").alias("_k"), "kind", "amount"), "_k", "left")
     new = F.when(F.col("kind") == "add", F.col(column) + F.col("amount")).when(F.col("kind") == "multiply", F.col(column) * (1 + F.col("amount"))).otherwise(F.col(column))
     return joined.withColumn(column, new).drop("_k", "kind", "amount")

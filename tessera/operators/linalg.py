@@ -191,6 +191,53 @@ def reconstruction_error(factor: DataFrame, covariance: DataFrame) -> DataFrame:
     return both.agg(F.sqrt(F.sum(gap * gap)).alias("error"))
 
 
+def covariance(matrix: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """The lower factor of a matrix that is square, symmetric and positive definite; raises for any other."""
+    shape = matrix.agg(F.max("row").alias("r"), F.max("col").alias("c"), F.count("*").alias("n"), F.sqrt(F.sum(F.col("val") * F.col("val"))).alias("norm")).first()
+    if shape["n"] == 0 or shape["r"] != shape["c"] or shape["n"] != (shape["r"] + 1) ** 2:
+        raise ValueError("the matrix is not square")
+    factor = cholesky(matrix)
+    if reconstruction_error(factor, matrix).first()["error"] > tolerance * shape["norm"]:
+        raise ValueError("the factor does not give the matrix back")
+    return factor
+
+
+def diagonal(variances: DataFrame) -> DataFrame:
+    """row, col, val, root: diagonal covariance of variances (i, variance) and its factor; others than positive ones raise."""
+    v = F.col("variance")
+    good = F.when((v > 0) & (v < float("inf")), v).otherwise(F.raise_error(F.lit("a variance is not positive")))
+    return variances.select(F.col("i").alias("row"), F.col("i").alias("col"), good.cast("double").alias("val"), F.sqrt(good).alias("root"))
+
+
+def pairs_in_order(dimension: int, k: Column) -> tuple[Column, Column]:
+    """Row and column of the k-th cell above the diagonal, row by row."""
+    # the largest i with i * (2 n - i - 1) / 2 <= k; the root is corrected by whole numbers
+    guess = F.floor((2 * dimension - 1 - F.sqrt(F.pow(F.lit(2.0 * dimension - 1), 2) - 8 * k)) / 2).cast("long")
+
+    def before(i: Column) -> Column:
+        return F.floor(i * (2 * dimension - i - 1) / 2)
+
+    i = F.when(before(guess + 1) <= k, guess + 1).when(before(guess) > k, guess - 1).otherwise(guess)
+    return i, k - before(i) + i + 1
+
+
+def pairwise_cells(correlations: DataFrame, dimension: int) -> DataFrame:
+    """row, col, val of the correlation matrix with the cells (k, rho) of its upper triangle."""
+    i, j = pairs_in_order(dimension, F.col("k"))
+    rho = F.when(F.col("rho").between(-1.0, 1.0), F.col("rho").cast("double")).otherwise(F.raise_error(F.lit("a correlation is not in [-1, 1]")))
+    upper = correlations.select(i.alias("i"), j.alias("j"), rho.alias("val"))
+    both = upper.select(F.explode(F.array(F.struct(F.col("i").alias("row"), F.col("j").alias("col")), F.struct(F.col("j").alias("row"), F.col("i").alias("col")))).alias("c"), "val")
+    ones = correlations.sparkSession.range(dimension).select(F.col("id").alias("row"), F.col("id").alias("col"), F.lit(1.0).alias("val"))
+    return both.select("c.row", "c.col", "val").unionAll(ones)
+
+
+def pairwise(spark, dimension: int, rhos: list[float]) -> DataFrame:
+    """The same from a list."""
+    if len(rhos) != dimension * (dimension - 1) // 2:
+        raise ValueError(f"{dimension} columns have {dimension * (dimension - 1) // 2} correlations, not {len(rhos)}")
+    return pairwise_cells(spark.createDataFrame([(k, float(r)) for k, r in enumerate(rhos)], "k long, rho double"), dimension)
+
+
 def equicorrelation(spark, sizes: list[int], rhos: list[float]) -> DataFrame:
     """Block-diagonal correlation matrix (row, col, val), one block for each size."""
     for d, rho in zip(sizes, rhos, strict=True):

@@ -225,6 +225,25 @@ def encode(messages: DataFrame, thinking: bool = False, drop: bool = True, bos:
     return got.select("conv_id", F.concat(F.lit(head), F.array_join(F.col("p.piece"), "")).alias("text"))
 
 
+def tools_from_openai(tools: Column) -> Column:
+    """Function definitions (array of JSON strings) of a JSON list of tools in the common exchange format (Q12)."""
+    return F.transform(F.from_json(tools, "array<struct<function:string>>"), lambda t: t["function"])
+
+
+def calls_from_openai(calls: Column) -> Column:
+    """Name and arguments of a JSON list of tool calls in the common exchange format (Q13)."""
+    parsed = F.from_json(calls, "array<struct<function:struct<name:string,arguments:string>>>")
+    return F.transform(parsed, lambda c: F.struct(c["function"]["name"].alias("name"), c["function"]["arguments"].alias("arguments")))
+
+
+def calls_to_openai(calls: Column) -> Column:
+    """A JSON list of tool calls in the common exchange format, from name and arguments (Q14)."""
+    def call(c: Column) -> Column:
+        return F.struct(F.lit("function").alias("type"), F.struct(c["name"].alias("name"), c["arguments"].alias("arguments")).alias("function"))
+
+    return F.to_json(F.transform(calls, call))
+
+
 def parse_completion(text: str, thinking: bool) -> dict:
     """An assistant completion as content, reasoning and calls; raises ValueError on anything malformed."""
     calls_open = f"\n\n<{MARK}tool_calls>\n"
