@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import distributions, dtypes, formats, names, special
 from tessera.operators import catalog, compare, generate, linalg, numeric, ordered, stats, transcripts, validate
-from tessera.plans.tables import CATALOGUE, MATRIX, TWO_CONFIGS, TWO_MODELS, catalogue, matrix, read, two_configs, two_models
+from tessera.plans.tables import CATALOGUE, TWO_CONFIGS, TWO_MODELS, catalogue, matrix, read, two_configs, two_models
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -468,17 +468,6 @@ def f_duplicates(s, d):
     return catalog.duplicates(read(s, d, "part").withColumnRenamed("p_name", "name"))
 
 
-@query(f"""
-    WITH {CATALOGUE}, x AS (SELECT name, dtype, 0 AS side FROM catalogue WHERE p_partkey % 2 = 0 UNION ALL SELECT name, 'X' || dtype, 1 FROM catalogue WHERE p_partkey % 3 = 0)
-    SELECT name, arg_max(dtype, side) AS dtype FROM x GROUP BY 1
-""")
-def i_merge(s, d):
-    """Union of two maps, the right side wins."""
-    c = catalogue(s, d).withColumn("k", F.regexp_extract("name", r"\.([0-9]+)\.weight$", 1).cast("bigint"))
-    right = c.filter("k % 3 = 0").withColumn("dtype", F.concat(F.lit("X"), "dtype"))
-    return catalog.merge_by_key(c.filter("k % 2 = 0"), right, "name", "dtype")
-
-
 @query("""
     WITH l AS (SELECT i AS layer FROM range(6) t(i)),
     c(part, shape) AS (VALUES ('self_attn.q_proj', '64,64'), ('self_attn.k_proj', '16,64'), ('self_attn.v_proj', '16,64'), ('self_attn.o_proj', '64,64'), ('input_layernorm', '64'), ('post_attention_layernorm', '64')),
@@ -619,41 +608,10 @@ def e_first_rule(s, d):
 # ---- linear algebra
 
 
-@query(f"WITH {MATRIX} SELECT a.label, a.col AS i, b.col AS j, round(sum(a.val * b.val), 5) AS val FROM matrix a JOIN matrix b ON a.label = b.label AND a.row = b.row AND a.col <= b.col GROUP BY 1, 2, 3")
-def j_gram(s, d):
-    """J1 (Gram matrix)."""
-    g = linalg.gram(matrix(s, d), "label")
-    return g.select("label", F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), F.round("val", 5).alias("val"))
-
-
-@query(f"WITH {MATRIX} SELECT a.col AS i, b.col AS j, count(*) AS n, round(corr(a.val, b.val), 6) AS corr FROM matrix a JOIN matrix b ON a.row = b.row AND a.col <= b.col GROUP BY 1, 2")
-def j_correlation(s, d):
-    """E17, E18, F25."""
-    g = linalg.correlation_matrix(matrix(s, d))
-    return g.select(F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), "n", F.round("corr", 6).alias("corr"))
-
-
-@query(f"""
-    WITH {MATRIX}, c AS (SELECT a.label, a.col AS i, b.col AS j, corr(a.val, b.val) AS r FROM matrix a JOIN matrix b ON a.label = b.label AND a.row = b.row AND a.col < b.col GROUP BY 1, 2, 3)
-    SELECT label, round(avg(abs(r)), 6) AS mean_abs, round(max(abs(r)), 6) AS max_abs FROM c GROUP BY 1
-""")
-def j_off_diagonal(s, d):
-    """F24."""
-    g = linalg.off_diagonal(linalg.correlation_matrix(matrix(s, d), "label"), "label")
-    return rounded(g, 6).withColumn("label", F.col("label").cast("int"))
-
-
-@query(f"WITH {MATRIX} SELECT a.row, b.row AS col, round(0.5 * sum(a.val * b.val), 6) AS val FROM matrix a JOIN matrix b ON a.col = b.col AND a.row < 20 AND b.row < 10 GROUP BY 1, 2")
-def j_product(s, d):
-    """Product of two long matrices."""
-    m = matrix(s, d).select("row", "col", "val")
-    return linalg.product(m, m.filter("row < 10"), 0.5, (0, 20)).withColumn("val", F.round("val", 6))
-
-
 @query()
 def j_singular_values(s, d):
     """Exact singular values by label (no SQL form; tested against numpy)."""
-    return linalg.singular_values(matrix(s, d, None), "label")
+    return linalg.singular_values(matrix(s, d), "label")
 
 
 # ---- generation and transforms
@@ -682,13 +640,6 @@ def l_clip(s, d):
     return generate.clip_outliers(read(s, d, "events"), "value", 1.5, "event_type").select("event_id", F.round("value", 4).alias("value"))
 
 
-@query(f"WITH {MATRIX} SELECT row, col, round(CASE WHEN abs(row - col) <= 3 THEN CASE WHEN row >= 5 THEN val * 0.1 ELSE val END ELSE 0 END, 6) AS val FROM matrix")
-def l_mask(s, d):
-    """A band mask, and damped rows."""
-    m = generate.apply_mask(matrix(s, d), generate.sparse_mask("diagonal_band", 0, 0, 3))
-    return generate.damp_rows(m, 5).select("row", F.col("col").cast("bigint").alias("col"), F.round("val", 6).alias("val"))
-
-
 @query("SELECT i AS layer, round(i / 11.0, 6) AS depth, round(least(1.0, 0.3 * (1 + 3 * i / 11.0)), 6) AS probability, round(2 * (1 + 3 * i / 11.0), 6) AS scale FROM range(12) t(i)")
 def l_policies(s, d):
     """C228, C229, L14-L17."""
@@ -809,17 +760,6 @@ def r_quantise(s, d):
     return g.select("event_id", F.round("scale", 6).alias("scale"), F.round("scaled", 3).alias("scaled"))
 
 
-@query(f"""
-    WITH {MATRIX}, a AS (SELECT label, row, col, exp(val) AS v FROM matrix WHERE row < 40),
-    b AS (SELECT label, row, col, v / sum(v) OVER (PARTITION BY row) AS v FROM a), c AS (SELECT label, row, col, v / sum(v) OVER (PARTITION BY col) AS v FROM b)
-    SELECT row, col, round(v, 6) AS val FROM c
-""")
-def r_sinkhorn(s, d):
-    """One round of row and column scaling."""
-    m = matrix(s, d).filter("row < 40").select("row", "col", F.exp("val").alias("val"))
-    return numeric.sinkhorn(m, 1).select("row", F.col("col").cast("bigint").alias("col"), F.round("val", 6).alias("val"))
-
-
 @query()
 def r_sample(s, d):
     """R2: a token by Gumbel noise (seeded; no SQL form)."""

@@ -82,12 +82,9 @@ diffs AS (
 )"""
 
 
-def matrix(spark: SparkSession, sf_dir: str, cols: int | None = 8) -> DataFrame:
-    """Embeddings as a long matrix of their first ``cols`` columns, or of all with None: label, row, col, val."""
-    e = read(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("row"), F.posexplode("embedding").alias("col", "val"))
-    return (e if cols is None else e.filter(F.col("col") < cols)).withColumn("val", F.col("val").cast("double"))
+def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as a long matrix: label, row, col, val."""
+    return read(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("row"), F.posexplode("embedding").alias("col", "val")).withColumn("val", F.col("val").cast("double"))
 
 
-MATRIX = "matrix AS (SELECT label, vec_id AS row, unnest(range(8)) AS col, unnest(CAST(embedding[1:8] AS DOUBLE[])) AS val FROM embeddings)"
-
 WHOLE_MATRIX = "matrix AS (SELECT label, vec_id AS row, unnest(range(len(embedding))) AS col, unnest(CAST(embedding AS DOUBLE[])) AS val FROM embeddings)"

@@ -1,4 +1,4 @@
-"""Queries over all rows and columns of a table, beside those of ``queries`` that check a prefix of it in SQL."""
+"""Linear algebra and merges over all rows and columns of their tables."""
 
 from __future__ import annotations
 
@@ -31,13 +31,13 @@ def _pairs(df: DataFrame) -> DataFrame:
 @query(f"WITH {WHOLE_MATRIX} SELECT a.label, a.col AS i, b.col AS j, round(sum(a.val * b.val), 5) AS val FROM matrix a JOIN matrix b ON a.label = b.label AND a.row = b.row AND a.col <= b.col GROUP BY 1, 2, 3")
 def j_gram_whole(s, d):
     """J1 (Gram matrix)."""
-    return _pairs(linalg.gram(matrix(s, d, None), "label")).withColumn("val", F.round("val", 5))
+    return _pairs(linalg.gram(matrix(s, d), "label")).withColumn("val", F.round("val", 5))
 
 
 @query(f"WITH {WHOLE_MATRIX} SELECT a.col AS i, b.col AS j, count(*) AS n, round(corr(a.val, b.val), 6) AS corr FROM matrix a JOIN matrix b ON a.row = b.row AND a.col <= b.col GROUP BY 1, 2")
 def j_correlation_whole(s, d):
     """E17, E18, F25."""
-    return _pairs(linalg.correlation_matrix(matrix(s, d, None))).withColumn("corr", F.round("corr", 6))
+    return _pairs(linalg.correlation_matrix(matrix(s, d))).withColumn("corr", F.round("corr", 6))
 
 
 @query(f"""
@@ -46,14 +46,14 @@ def j_correlation_whole(s, d):
 """)
 def j_off_diagonal_whole(s, d):
     """F24."""
-    g = linalg.off_diagonal(linalg.correlation_matrix(matrix(s, d, None), "label"), "label")
+    g = linalg.off_diagonal(linalg.correlation_matrix(matrix(s, d), "label"), "label")
     return rounded(g, 6).withColumn("label", F.col("label").cast("int"))
 
 
 @query(f"WITH {WHOLE_MATRIX} SELECT row, col, round(CASE WHEN abs(row - col) <= 3 THEN CASE WHEN row >= 5 THEN val * 0.1 ELSE val END ELSE 0 END, 6) AS val FROM matrix")
 def l_mask_whole(s, d):
     """A band mask, and damped rows."""
-    m = generate.apply_mask(matrix(s, d, None), generate.sparse_mask("diagonal_band", 0, 0, 3))
+    m = generate.apply_mask(matrix(s, d), generate.sparse_mask("diagonal_band", 0, 0, 3))
     return generate.damp_rows(m, 5).select("row", F.col("col").cast("bigint").alias("col"), F.round("val", 6).alias("val"))
 
 
@@ -66,7 +66,7 @@ def j_product_whole(s, d):
     i = F.col("id")
     row, col = F.floor(i / 64), i % 64
     factor = s.range(256).select(row.alias("row"), col.alias("col"), (((row * 7 + col * 3) % 11 - 5) / 10.0).alias("val"))
-    return linalg.product(matrix(s, d, None).select("row", "col", "val"), F.broadcast(factor), 0.5).withColumn("val", F.round("val", 6))
+    return linalg.product(matrix(s, d).select("row", "col", "val"), F.broadcast(factor), 0.5).withColumn("val", F.round("val", 6))
 
 
 @query(f"""
@@ -76,7 +76,7 @@ def j_product_whole(s, d):
 """)
 def r_sinkhorn_whole(s, d):
     """One round of row and column scaling."""
-    m = matrix(s, d, None).select("row", "col", F.exp("val").alias("val"))
+    m = matrix(s, d).select("row", "col", F.exp("val").alias("val"))
     return numeric.sinkhorn(m, 1).select("row", F.col("col").cast("bigint").alias("col"), F.round("val", 6).alias("val"))
 
 
