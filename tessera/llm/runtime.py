@@ -70,7 +70,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 #: A key with more than one in ``SALTS`` of all rows, and more than ``LEAST_HOT``, is dealt to several tasks.
-SALTS, LEAST_HOT = 512, 1000
+SALTS, LEAST_HOT = 512, 100
 
 
 def join_dealt(many: DataFrame, one: DataFrame, on: list[str], counts: DataFrame, total: int, size: str = "n_rows") -> DataFrame:

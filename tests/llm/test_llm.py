@@ -388,7 +388,7 @@ def test_near_copies_match_brute_force(spark, monkeypatch, partners, block, salt
     monkeypatch.setattr(minhash, "PARTNERS", partners)
     monkeypatch.setattr(minhash, "BLOCK", block)
     monkeypatch.setattr(runtime, "SALTS", salts)
-    monkeypatch.setattr(runtime, "LEAST_HOT", 1000 if salts == 512 else 2)
+    monkeypatch.setattr(runtime, "LEAST_HOT", 100 if salts == 512 else 2)
     rng = random.Random(10)
     rows = []
     for g in range(12):
