@@ -174,6 +174,15 @@ def lerp(a: Column, b: Column, t: Column) -> Column:
     return a + (b - a) * t
 
 
+# The least and the largest tensor of the middle class, and the chunk of larger ones, in bytes.
+LEAST_CHUNK, MIDDLE_TENSOR, LARGE_CHUNK = 1 << 20, 32 << 20, 8 << 20
+
+
+def adaptive_chunk(size: Column) -> Column:
+    """Bytes that a tensor of this size is written in at a time."""
+    return F.when(size < LEAST_CHUNK, size).when(size <= MIDDLE_TENSOR, LEAST_CHUNK).otherwise(LARGE_CHUNK)
+
+
 # What the exit codes 0 to 6 mean.
 EXIT_CODES = ["Succès", "Erreur générale", "Argument invalide", "Modèle invalide", "Erreur d'entrée/sortie", "Validation échouée", "Comparaison incompatible"]
 

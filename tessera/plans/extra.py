@@ -110,6 +110,16 @@ def c_exit_codes(s, d):
     return read(s, d, "nation").select(code.cast("bigint").alias("code"), formats.exit_description(code).alias("description"))
 
 
+@query(f"""
+    WITH {CATALOGUE}, x AS (SELECT name, bytes * 40000 AS size FROM catalogue)
+    SELECT name, size, CAST(CASE WHEN size < 1048576 THEN size WHEN size <= 33554432 THEN 1048576 ELSE 8388608 END AS BIGINT) AS chunk FROM x
+""")
+def c_chunks(s, d):
+    """How large a chunk tensors of a size are written in."""
+    sized = catalogue(s, d).select("name", (F.col("bytes") * 40000).alias("size"))
+    return sized.select("name", "size", formats.adaptive_chunk(F.col("size")).cast("bigint").alias("chunk"))
+
+
 @query(f"""
     WITH {CATALOGUE}, b AS (SELECT path, count(*) AS tensors, sum(bytes) AS size, 16 + 88 * count(*) AS header FROM catalogue GROUP BY 1),
     t AS (SELECT *, size * 3 AS total FROM b)

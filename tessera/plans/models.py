@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import dtypes, names
-from tessera.operators import catalog, compare, numeric
+from tessera.operators import catalog, compare, numeric, stats
 from tessera.operators import generate as values_of
 from tessera.sources import safetensors
 
@@ -136,6 +137,56 @@ def generate_model(spark: SparkSession, path: str, plan: DataFrame, seed: int, s
     ordered.write.format("safetensors").mode("overwrite").save(path)
 
 
+# Files that a model must have beside its tensors, and those that it may have.
+REQUIRED_FILES = ["config.json", "generation_config.json", "tokenizer.json", "tokenizer_config.json"]
+OPTIONAL_FILES = ["special_tokens_map.json", "chat_template.jinja"]
+# Where the parts of a generated model come from, and how sure they are.
+PROVENANCE = {
+    "model": ("Generated", "Synthetic"), "seed": ("Observed", "Exact"), "distribution": ("Derived", "Estimated"), "structure": ("Derived", "Estimated"),
+    "outlier": ("Derived", "Estimated"), "dtype": ("Observed", "Exact"), "size": ("Observed", "Exact"),
+}
+
+
+def copy_config_files(source: str, path: str, required: list[str] = REQUIRED_FILES, optional: list[str] = OPTIONAL_FILES) -> list[str]:
+    """Copy a model's configuration files; a required one that is missing raises."""
+    copied = []
+    for name in [*required, *optional]:
+        if os.path.exists(os.path.join(source, name)):
+            shutil.copyfile(os.path.join(source, name), os.path.join(path, name))
+            copied.append(name)
+        elif name in required:
+            raise FileNotFoundError(os.path.join(source, name))
+    return copied
+
+
+def tensor_statistics(spark: SparkSession, path: str, threshold: float = 3.0) -> DataFrame:
+    """name, role, mean, std, quantiles and outlier_rate of every tensor of a model, from its values."""
+    safetensors.register(spark)
+    values = spark.read.format("safetensors_values").load(path).select("name", "val")
+    moments = values.groupBy("name").agg(F.avg("val").alias("mean"), F.stddev_pop("val").alias("std"))
+    far = values.join(moments, "name").groupBy("name").agg(F.avg((F.abs(F.col("val") - F.col("mean")) > threshold * F.col("std")).cast("double")).alias("outlier_rate"))
+    quantiles = stats.quantiles(values, "val", [0.05, 0.5, 0.95], "name")
+    return moments.join(far, "name").join(quantiles, "name").select("name", names.tensor_role(F.col("name")).alias("role"), "mean", "std", F.struct("p5", "p50", "p95").alias("quantiles"), "outlier_rate")
+
+
+def write_reports(spark: SparkSession, path: str) -> None:
+    """Statistics and provenance of a model as JSON files in its folder ``pmg``; one row a tensor comes to the driver."""
+    folder = os.path.join(path, "pmg")
+    os.makedirs(folder, exist_ok=True)
+    tensors = [json.loads(r[0]) for r in tensor_statistics(spark, path).orderBy("name").select(F.to_json(F.struct("*"))).collect()]
+    provenance = {k: {"origin": origin, "confidence": confidence} for k, (origin, confidence) in PROVENANCE.items()}
+    for name, value in (("statistics.json", {"tensors": tensors}), ("provenance.json", provenance)):
+        write_json(os.path.join(folder, name), value)
+
+
+def write_json(path: str, value: dict) -> None:
+    """Written aside and renamed."""
+    aside = os.path.join(os.path.dirname(path), f".{os.path.basename(path)}")
+    with open(aside, "w") as f:
+        json.dump(value, f, indent=2)
+    os.replace(aside, path)
+
+
 def generate(spark: SparkSession, path: str, layers: int, hidden: int, heads: int, intermediate: int, vocab: int, seed: int) -> None:
     """A small dense model: shards, index, configuration, manifest and statistics."""
     os.makedirs(path, exist_ok=True)
@@ -145,7 +196,5 @@ def generate(spark: SparkSession, path: str, layers: int, hidden: int, heads: in
     tensors = [{"name": r["name"], "shape": r["shape"], "dtype": r["dtype"]} for r in plan.select("name", "shape", "dtype").orderBy("name").collect()]  # metadata of one model
     manifest = {"model_type": "synthetic", "seed": seed, "tensors": tensors, "total_tensors": len(tensors)}
     for name, value in (("config.json", cfg), ("manifest.json", manifest)):
-        aside = os.path.join(path, f".{name}")
-        with open(aside, "w") as f:
-            json.dump(value, f, indent=2)
-        os.replace(aside, os.path.join(path, name))
+        write_json(os.path.join(path, name), value)
+    write_reports(spark, path)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from tessera.functions import distributions
 from tessera.operators import compare, generate, injection, linalg, ordered, stats, transcripts
-from tessera.plans import extra
+from tessera.plans import extra, models
 from test_queries import DATA, db, plain  # noqa: F401
 
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
@@ -173,3 +173,19 @@ def test_generation_report(spark):
     report = spark.createDataFrame([(2, 15, 0)], "tensors long, parameters long, seed long")
     assert {r["message"] for r in injection.generation_problems(report, specs).collect()} == {"tensor without a name", "seed is 0"}
     assert injection.generation_problems(spark.createDataFrame([(1, 10, 3)], "tensors long, parameters long, seed long"), specs.limit(1)).count() == 0
+
+
+def test_reports_beside_a_generated_model(spark, tmp_path):
+    path, source = str(tmp_path / "model"), tmp_path / "source"
+    models.generate(spark, path, 1, 16, 2, 32, 50, 3)
+    tensors = json.loads((tmp_path / "model" / "pmg" / "statistics.json").read_text())["tensors"]
+    assert {t["name"] for t in tensors} == {r["name"] for r in models.catalogue(spark, path).collect()}
+    assert all(abs(t["mean"]) < 0.02 and 0.005 < t["std"] < 0.04 and t["quantiles"]["p5"] <= t["quantiles"]["p95"] for t in tensors)
+    assert json.loads((tmp_path / "model" / "pmg" / "provenance.json").read_text())["seed"] == {"origin": "Observed", "confidence": "Exact"}
+    source.mkdir()
+    for name in models.REQUIRED_FILES[:3]:
+        (source / name).write_text("{}")
+    with pytest.raises(FileNotFoundError):
+        models.copy_config_files(str(source), path)
+    (source / models.REQUIRED_FILES[3]).write_text("{}")
+    assert models.copy_config_files(str(source), path) == models.REQUIRED_FILES
