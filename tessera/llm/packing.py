@@ -8,14 +8,14 @@ level.
 
 There are two passes.  In the first, each Spark partition packs on its own and
 nothing is shuffled.  What lies in windows that are still open at its end goes
-to the second pass: the documents (or rests of them) of the open windows of
-``together`` partitions meet in one task and are placed by the same rule.  Only
-what is still open then is strung together and cut anew (``strung``): full windows,
-and at last sequences whose lengths are powers of two, so nothing at all is
-padded.  A partition leaves at most some windows a level open, so the share
-that is strung falls as partitions grow.  Open windows are bounded: when there
-are more than ``most_open``, the first pass hands them on and the second
-strings them.
+to the second pass: the documents (or rests of them) of the open windows of as
+many partitions as hold some ``second_ids`` ids meet in one task and are placed
+by the same rule, the largest first.  Only what is still open then is strung
+together and cut anew (``strung``): full windows, and at last sequences whose
+lengths are powers of two, so nothing at all is padded.  A task leaves at most
+some windows a level open, so the share that is strung falls as partitions
+grow.  Open windows are bounded: when there are more than ``most_open``, the
+first pass hands them on and the second strings them.
 
 The first pass is written as a table in the shared folder.  A sequence id holds
 the number of its task, and the second pass reads its rows in a fixed order, so
@@ -268,7 +268,7 @@ def _second_pass(batches: Iterable[pa.RecordBatch], seq_len: int, most_open: int
 
 
 def pack(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seq_len: int = 2048, end_id: int = 1, tokenizer_path: str | None = None, most_open: int = 4096, together: int = 8
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seq_len: int = 2048, end_id: int = 1, tokenizer_path: str | None = None, most_open: int = 4096, second_ids: int = 16 << 20
 ) -> DataFrame:
     """Pack documents; one row for each piece, with its ids as little-endian 32-bit numbers.
 
@@ -283,11 +283,12 @@ def pack(
     packed = source.mapInArrow(lambda batches: _first_pass(batches, seq_len, end_id, tokenizer_path, most_open), PIECES + ", open boolean")
     done, _ = materialise(packed, "packed")
     task = F.shiftright("sequence_id", 32)
-    tasks = done.filter("open").agg(F.max(task)).first()[0]
+    last, ids = done.filter("open").agg(F.max(task), F.sum("length")).first()
     whole = done.filter("not open").drop("open")
-    if tasks is None:
+    if last is None:
         return whole
-    left = done.filter("open").repartitionById(tasks // together + 1, F.floor(task / together).cast("int")).sortWithinPartitions("sequence_id", "offset")
+    together = max(1, second_ids * (last + 1) // ids)
+    left = done.filter("open").repartitionById(last // together + 1, F.floor(task / together).cast("int")).sortWithinPartitions(F.desc("length"), "sequence_id", "offset")
     again = left.mapInArrow(lambda batches: _second_pass(batches, seq_len, most_open), PIECES + ", open boolean")
     return whole.unionAll(again.drop("open"))
 

@@ -463,12 +463,12 @@ def test_secrets_match_python_and_link(spark):
 # ---- 9 packing
 
 
-@pytest.mark.parametrize(("parts", "most_open", "together"), [(2, 4096, 8), (7, 3, 2)])
-def test_packing_round_trip(spark, parts, most_open, together):
+@pytest.mark.parametrize(("parts", "most_open", "second_ids"), [(2, 4096, 1 << 24), (7, 3, 20_000)])
+def test_packing_round_trip(spark, parts, most_open, second_ids):
     rng = random.Random(12)
     rows = [(i, sentence(rng, rng.choice([0, 1, 5, 90, 700, 1500]))) for i in range(150)] + ODD + [(950, "It's <|endoftext|> Ünïcode, A1b2. x!? " * 30)]
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    packed = packing.pack(docs_of(spark, rows).repartition(parts), most_open=most_open, together=together)
+    packed = packing.pack(docs_of(spark, rows).repartition(parts), most_open=most_open, second_ids=second_ids)
     out = packed.collect()
     assert sorted(map(str, out)) == sorted(map(str, packed.collect()))
     assert {(r["doc_id"], r["doc_tokens"]) for r in out} == {(i, len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in rows}
@@ -519,7 +519,7 @@ def test_placement_minimises_squares():
 
 def test_open_windows_of_all_partitions_are_placed(spark):
     docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a "), (F.pmod(F.xxhash64("id"), F.lit(60)) + 1).cast("int")).alias("text"))
-    shares = [packing.strung_share(packing.pack(docs.repartition(24), seq_len=128, together=t)).first()["share"] for t in (1, 24)]
+    shares = [packing.strung_share(packing.pack(docs.repartition(24), seq_len=128, second_ids=n)).first()["share"] for n in (1, 1 << 24)]
     assert shares[1] < 0.04 and shares[1] < shares[0] / 3
 
 
