@@ -173,6 +173,13 @@ def j_row_block(s, d):
     return linalg.product(matrix(s, d).select("row", "col", "val"), F.broadcast(factor), 0.5, (0, 20)).withColumn("val", F.round("val", 6))
 
 
+@query(f"WITH {WHOLE_MATRIX} SELECT label, count(DISTINCT col) AS n, round(sum(val * val), 4) AS energy FROM matrix GROUP BY 1")
+def j_trace(s, d):
+    """The squares of a label's singular values add up to those of its cells."""
+    sigma = linalg.singular_values(matrix(s, d), "label")
+    return sigma.groupBy("label").agg(F.count("*").alias("n"), F.round(F.sum(F.col("sigma") * F.col("sigma")), 4).alias("energy"))
+
+
 @query()
 def k_xorshift(s, d):
     """Normals by a 64-bit xorshift register, one stream a part (no SQL form; tested against a plain loop)."""

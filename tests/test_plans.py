@@ -27,6 +27,18 @@ def test_no_cartesian_products_and_no_needless_python(spark, name):
     assert bool(re.search("Python|Pandas|ArrowEval|InArrow", text)) == (name in PYTHON)
 
 
+#: Queries that join rows with a table of one row: moments of the whole table, a limit, counts of shards.
+ONE_ROW = {"d_outliers_compat", "d_outliers_quantile", "g_super_weights", "e_sharding"}
+
+
+@pytest.mark.parametrize("name", sorted(core.QUERIES))
+def test_no_nested_loops_and_no_windows_over_whole_tables(spark, name):
+    text = plan(core.QUERIES[name](spark, DATA))
+    assert ("NestedLoop" in text) == (name in ONE_ROW)
+    for order in re.findall(r"windowspecdefinition\(([^,()]*)", text):
+        assert not re.search("ASC|DESC", order) or order.startswith("_bucket#")  # sums of buckets are few
+
+
 def test_scans_read_only_what_they_need(spark):
     text = plan(core.QUERIES["f_summary"](spark, DATA))
     assert "ReadSchema: struct<l_extendedprice:double,l_returnflag:string>" in text
