@@ -57,8 +57,8 @@ class ShiftRegister:
 
 
 def chunk_table(tensors: DataFrame, chunk: int, model: str, version: str, seed: int) -> DataFrame:
-    """name, layer, chunk_id, start, n, seed (hex) for each chunk of tensors (name, layer, elements)."""
-    number = F.ceil(F.col("elements") / chunk).cast("bigint")
+    """name, layer, chunk_id, start, n, seed (hex) for each chunk of tensors (name, layer, elements); without elements one empty chunk."""
+    number = F.greatest(F.ceil(F.col("elements") / chunk), F.lit(1)).cast("bigint")
     tensor_seed = formats.derive_seed(F.lit(seed), F.lit(model), F.col("name"), F.col("layer"), F.lit(version))
     split = tensors.withColumn("_seed", tensor_seed).withColumn("chunk_id", F.explode(F.sequence(F.lit(0).cast("bigint"), number - 1)))
     start = F.col("chunk_id") * chunk

@@ -128,50 +128,57 @@ class HeaderReader(DataSourceReader):
             yield partition.path, size, header, name, dtype, shape, begin, end
 
 
+#: Bytes of a file that one task reads, about.
+SLICE = 256 << 20
+
+
 @dataclass
-class ChunkPart(InputPartition):
+class SlicePart(InputPartition):
     path: str
-    name: str
-    dtype: str
-    at: int
-    first: int
-    count: int
+    part: int
+    parts: int
 
 
 class ValueReader(DataSourceReader):
-    """path, name, idx, val; a tensor is read in chunks of ``chunk`` elements."""
+    """path, name, idx, val; a tensor is read in chunks of ``chunk`` elements.
+
+    The driver only asks for file sizes: a file is dealt to tasks by its size,
+    and each task reads the header itself and takes its share of the chunks.
+    """
 
     def __init__(self, options: dict) -> None:
         self.path, self.chunk, self.only = options["path"], int(options.get("chunk", 1 << 20)), options.get("name")
+        self.slice = int(options.get("slice", SLICE))
 
     def partitions(self):
-        parts = []
-        for path in list_files(self.path):
-            _, header, entries = read_header(path)
-            for name, dtype, shape, begin, _ in entries:
-                size, n = DTYPES[dtype][0], math.prod(shape)
-                if (self.only is None or name == self.only) and (size or dtype == "F8_E8M0"):
-                    parts += [ChunkPart(path, name, dtype, header + begin + k * (size or 1), k, min(self.chunk, n - k)) for k in range(0, n, self.chunk)]
-        return parts or [ChunkPart(self.path, "", "U8", 0, 0, 0)]
+        sized = [(path, max(1, -(-os.path.getsize(path) // self.slice))) for path in list_files(self.path)]
+        return [SlicePart(path, k, n) for path, n in sized for k in range(n)]
 
-    def read(self, partition: ChunkPart):
+    def read(self, partition: SlicePart):
         import numpy as np
         import pyarrow as pa
 
         from tessera.operators.numeric import decode
 
-        p = partition
-        if not p.count:
-            return
-        with open(p.path, "rb") as f:
-            f.seek(p.at)
-            values = decode(f.read(p.count * (DTYPES[p.dtype][0] or 1)), p.dtype)
-        for lo in range(0, len(values), 1 << 16):
-            v = values[lo : lo + (1 << 16)]
-            n = len(v)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([p.path] * n), pa.array([p.name] * n), pa.array(p.first + lo + np.arange(n)), pa.array(v, pa.float64())], ["path", "name", "idx", "val"]
-            )
+        _, header, entries = read_header(partition.path)
+        number = 0
+        with open(partition.path, "rb") as f:
+            for name, dtype, shape, begin, _ in entries:
+                size, total = DTYPES[dtype][0], math.prod(shape)
+                if (self.only is not None and name != self.only) or not (size or dtype == "F8_E8M0"):
+                    continue
+                for first in range(0, total, self.chunk):
+                    number += 1
+                    if number % partition.parts != partition.part:
+                        continue
+                    f.seek(header + begin + first * (size or 1))
+                    values = decode(f.read(min(self.chunk, total - first) * (size or 1)), dtype)
+                    for lo in range(0, len(values), 1 << 16):
+                        v = values[lo : lo + (1 << 16)]
+                        n = len(v)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([partition.path] * n), pa.array([name] * n), pa.array(first + lo + np.arange(n)), pa.array(v, pa.float64())], ["path", "name", "idx", "val"]
+                        )
 
 
 def header_bytes(tensors: list[tuple[str, str, list[int], int]]) -> bytes:

@@ -189,3 +189,13 @@ def test_reports_beside_a_generated_model(spark, tmp_path):
         models.copy_config_files(str(source), path)
     (source / models.REQUIRED_FILES[3]).write_text("{}")
     assert models.copy_config_files(str(source), path) == models.REQUIRED_FILES
+
+
+def test_values_of_a_file_are_read_by_many_tasks(spark, tmp_path):
+    path = str(tmp_path / "model")
+    models.generate_model(spark, path, spark.createDataFrame([("a", 0, [70, 3], "F32"), ("b", 1, [9], "BF16"), ("c", 1, [0], "F32")], "name string, layer long, shape array<bigint>, dtype string"), 3)
+    one = spark.read.format("safetensors_values").load(path)
+    many = spark.read.format("safetensors_values").option("slice", 100).option("chunk", 16).load(path)
+    assert one.rdd.getNumPartitions() == 1 and many.rdd.getNumPartitions() > 5
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect())) and one.count() == 219
+    assert many.filter("name = 'b'").count() == 9
