@@ -92,4 +92,5 @@ def join_dealt(many: DataFrame, one: DataFrame, on: list[str], counts: DataFrame
         parts = F.when(key.isin(keys), number).otherwise(parts)
     dealt = many.withColumn("_salt", F.pmod(F.xxhash64(*many.columns), parts).cast("int"))
     copied = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
-    return dealt.join(copied, [*on, "_salt"]).drop("_salt")
+    # merged, as broadcasting the many rows would leave a hot key's joined rows in the task of its one row
+    return dealt.hint("merge").join(copied, [*on, "_salt"]).drop("_salt")
