@@ -170,8 +170,8 @@ def tensor_statistics(spark: SparkSession, path: str, threshold: float = 3.0) ->
 
 
 def write_reports(spark: SparkSession, path: str) -> None:
-    """Statistics and provenance of a model as JSON files in its folder ``pmg``; one row a tensor comes to the driver."""
-    folder = os.path.join(path, "pmg")
+    """Statistics and provenance of a model as JSON files in its folder ``reports``; one row a tensor comes to the driver."""
+    folder = os.path.join(path, "reports")
     os.makedirs(folder, exist_ok=True)
     tensors = [json.loads(r[0]) for r in tensor_statistics(spark, path).orderBy("name").select(F.to_json(F.struct("*"))).collect()]
     provenance = {k: {"origin": origin, "confidence": confidence} for k, (origin, confidence) in PROVENANCE.items()}

@@ -178,10 +178,10 @@ def test_generation_report(spark):
 def test_reports_beside_a_generated_model(spark, tmp_path):
     path, source = str(tmp_path / "model"), tmp_path / "source"
     models.generate(spark, path, 1, 16, 2, 32, 50, 3)
-    tensors = json.loads((tmp_path / "model" / "pmg" / "statistics.json").read_text())["tensors"]
+    tensors = json.loads((tmp_path / "model" / "reports" / "statistics.json").read_text())["tensors"]
     assert {t["name"] for t in tensors} == {r["name"] for r in models.catalogue(spark, path).collect()}
     assert all(abs(t["mean"]) < 0.02 and 0.005 < t["std"] < 0.04 and t["quantiles"]["p5"] <= t["quantiles"]["p95"] for t in tensors)
-    assert json.loads((tmp_path / "model" / "pmg" / "provenance.json").read_text())["seed"] == {"origin": "Observed", "confidence": "Exact"}
+    assert json.loads((tmp_path / "model" / "reports" / "provenance.json").read_text())["seed"] == {"origin": "Observed", "confidence": "Exact"}
     source.mkdir()
     for name in models.REQUIRED_FILES[:3]:
         (source / name).write_text("{}")
