@@ -57,7 +57,7 @@ def a_headers(s, d):
     """The whole catalogue filled with seeded values, written as tensor files, and their headers read back."""
     path = scratch(s, "headers")
     models.generate_model(s, path, catalogue(s, d).select("name", names.layer_number(F.col("name")).alias("layer"), "shape", "dtype"), 42)
-    return models.catalogue(s, path, strict=True).select("name", "dtype", F.array_join(F.transform("shape", lambda x: x.cast("string")), ",").alias("shape"), "begin", "end")
+    return models.on_one_scale(models.catalogue(s, path, strict=True)).select("name", "dtype", F.array_join(F.transform("shape", lambda x: x.cast("string")), ",").alias("shape"), "begin", "end")
 
 
 @query("""

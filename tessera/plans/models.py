@@ -30,6 +30,14 @@ def catalogue(spark: SparkSession, path: str, strict: bool = False) -> DataFrame
     return rows.withColumn("bytes", F.col("end") - F.col("begin"))
 
 
+def on_one_scale(c: DataFrame) -> DataFrame:
+    """The catalogue of a folder with offsets that run on from shard to shard."""
+    files = c.select("path", (F.col("file_size") - F.col("header_size")).alias("_payload")).distinct()
+    upto = F.sum("_payload").over(W.orderBy(F.length("path"), "path"))  # one row a file; numbers of six digits come last
+    before = files.select("path", (upto - F.col("_payload")).alias("_before"))
+    return c.join(F.broadcast(before), "path").withColumns({k: F.col(k) + F.col("_before") for k in ("begin", "end")}).drop("_before")
+
+
 def config(spark: SparkSession, folder: str) -> DataFrame:
     """A model's configuration as a typed row with defaults and its kind of attention."""
     c = spark.read.schema(CONFIG).json(os.path.join(folder, "config.json"), multiLine=True)
@@ -121,16 +129,19 @@ def compare_models(spark: SparkSession, original: str, compared: str, compat: bo
 def tensor_payloads(spark: SparkSession, plan: DataFrame, seed: int, version: str = "v1", model: str = "model", chunk: int = 1 << 16) -> DataFrame:
     """name, dtype, shape, chunk_id, payload of a catalogue filled with seeded normals of deviation 0.02; one row a chunk."""
     sized = plan.withColumn("elements", dtypes.num_elements(F.col("shape")).cast("bigint"))
-    arrays = values_of.stream_arrays(values_of.chunk_table(sized.select("name", "layer", "elements"), chunk, model, version, seed), "normal", 0.0, 0.02)
+    chunks = values_of.chunk_table(sized.select("name", "layer", "elements"), chunk, model, version, seed)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # as in stream_values: chunks grow into values
+    arrays = values_of.stream_arrays(chunks.repartition(tasks, "name", "chunk_id"), "normal", 0.0, 0.02)
     joined = arrays.join(sized.select("name", "dtype", "shape"), "name")
     return joined.select("name", "dtype", "shape", "chunk_id", numeric.encode_values(F.col("vals"), F.col("dtype")).alias("payload"))
 
 
-def generate_model(spark: SparkSession, path: str, plan: DataFrame, seed: int, shard_bytes: int = 1 << 30) -> None:
-    """Write a catalogue's tensors as shards of bounded size with an index."""
+def generate_model(spark: SparkSession, path: str, plan: DataFrame, seed: int, shard_bytes: int = 1 << 30, header_bytes: int = safetensors.MOST_HEADER) -> None:
+    """Write a catalogue's tensors as shards of bounded size, with headers that readers take, and an index."""
     safetensors.register(spark)
     sized = plan.withColumn("bytes", dtypes.byte_size(F.col("shape"), F.col("dtype")).cast("bigint"))
-    placed = catalog.shard_plan(sized, shard_bytes).select("name", F.col("shard").alias("_shard"))
+    sized = sized.withColumn("header", safetensors.entry_bytes(F.col("name"), F.col("dtype"), F.col("shape"), F.greatest("bytes", F.lit(shard_bytes))))
+    placed = catalog.shard_plan(sized, shard_bytes, most_header=header_bytes - 8).select("name", F.col("shard").alias("_shard"))
     shards = placed.agg(F.max("_shard")).first()[0]
     rows = tensor_payloads(spark, plan, seed).join(placed, "name").repartitionById(int(shards), (F.col("_shard") - 1).cast("int"))
     ordered = rows.sortWithinPartitions("name", "chunk_id").select("name", "dtype", "shape", "payload")

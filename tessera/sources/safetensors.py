@@ -9,6 +9,7 @@ the bytes it needs.  Paths are local or mounted; other stores go through
 
 from __future__ import annotations
 
+import heapq
 import json
 import math
 import os
@@ -17,8 +18,9 @@ import shutil
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
@@ -194,9 +196,18 @@ def header_bytes(tensors: list[tuple[str, str, list[int], int]]) -> bytes:
         at += size
     text = json.dumps(dict(sorted(header.items())), separators=(",", ":")).encode()
     text += b" " * (-len(text) % 8)
+    if len(text) > MOST_HEADER:
+        raise FormatError(f"header of {len(text)} bytes")
     return struct.pack("<Q", len(text)) + text
 
 
+def entry_bytes(name: Column, dtype: Column, shape: Column, most_offset: Column) -> Column:
+    """How many bytes a tensor takes of a header at most, with offsets up to ``most_offset``; a header has up to eight more."""
+    plain = F.length(F.regexp_replace(name, r"[^ !#-\[\]-~]", ""))  # others are escaped, each half of UTF-16 with six characters at most
+    lists = F.octet_length(F.array_join(shape.cast("array<string>"), ",")) + 2 * F.length(most_offset.cast("string"))
+    return F.octet_length(F.encode(name, "UTF-16BE")) * 3 - plain * 5 + F.octet_length(dtype) + lists + len('"":{"dtype":"","shape":[],"data_offsets":[,]},')
+
+
 def file_bytes(tensors: list[tuple[str, str, list[int], bytes]]) -> bytes:
     """A whole tensor file; the header comes first."""
     return header_bytes([(n, t, s, len(raw)) for n, t, s, raw in tensors]) + b"".join(raw for *_, raw in tensors)
@@ -205,15 +216,29 @@ def file_bytes(tensors: list[tuple[str, str, list[int], bytes]]) -> bytes:
 @dataclass
 class Written(WriterCommitMessage):
     temporary: str
-    names: list[str]
+    tensors: int
     size: int
 
 
+def _names(path: str) -> Iterator[str]:
+    """Lines of a file of names, a block at a time; the file is open only meanwhile."""
+    at = 0
+    while True:
+        with open(path, "rb") as f:
+            f.seek(at)
+            block = f.readlines(1 << 16)
+        if not block:
+            return
+        at += sum(map(len, block))
+        yield from map(json.loads, block)
+
+
 class FileWriter(DataSourceWriter):
     """Rows (name, dtype, shape, payload): each task writes one shard, and the commit names and indexes them.
 
     A tensor may come in several rows one after the other; no more than a row
-    is held in memory.
+    is held in memory.  Names reach the commit in sorted files beside the
+    shards, and it holds no more than a block of each.
     """
 
     def __init__(self, options: dict, overwrite: bool) -> None:
@@ -238,32 +263,45 @@ class FileWriter(DataSourceWriter):
             with open(temporary, "wb") as f, open(temporary + ".body", "rb") as body:
                 f.write(header_bytes([tuple(t) for t in tensors]))
                 shutil.copyfileobj(body, f, 1 << 20)
+            with open(temporary + ".names", "w") as f:
+                f.writelines(json.dumps(t[0]) + "\n" for t in sorted(tensors))
         os.remove(temporary + ".body")
-        return Written(temporary, [t[0] for t in tensors], sum(t[3] for t in tensors))
+        return Written(temporary, len(tensors), sum(t[3] for t in tensors))
 
     def commit(self, messages) -> None:
-        done = [m for m in messages if m is not None and m.names]
-        names = [n for m in done for n in m.names]
-        if len(names) != len(set(names)):
-            raise FormatError("a name is in two shards")
+        done = [m for m in messages if m is not None and m.tensors]
+        shards = [f"model-{i:05d}-of-{len(done):05d}.safetensors" for i in range(1, len(done) + 1)]
+        aside = os.path.join(self.path, ".index")
+        try:
+            self._write_index(aside, done, shards)
+        except FormatError:
+            os.remove(aside)
+            raise
         if self.overwrite:
             for old in list_files(self.path):
                 os.remove(old)
-        weight_map = {}
-        for i, m in enumerate(done, 1):
-            shard = f"model-{i:05d}-of-{len(done):05d}.safetensors"
+        for m, shard in zip(done, shards):
             os.replace(m.temporary, os.path.join(self.path, shard))
-            weight_map |= {n: shard for n in m.names}
-        index = {"metadata": {"total_size": sum(m.size for m in done)}, "weight_map": dict(sorted(weight_map.items()))}
-        aside = os.path.join(self.path, ".index")
-        with open(aside, "w") as f:
-            json.dump(index, f, indent=2)
+            os.remove(m.temporary + ".names")
         os.replace(aside, os.path.join(self.path, "model.safetensors.index.json"))
 
+    def _write_index(self, path: str, done: list[Written], shards: list[str]) -> None:
+        """Total size and the shard of each name, in order of name."""
+        placed = heapq.merge(*[zip(_names(m.temporary + ".names"), repeat(shard)) for m, shard in zip(done, shards)])
+        last = None
+        with open(path, "w") as f:
+            f.write('{\n  "metadata": {\n    "total_size": %d\n  },\n  "weight_map": {' % sum(m.size for m in done))
+            for name, shard in placed:
+                if name == last:
+                    raise FormatError("a name is in two shards")
+                f.write(f"{',' if last is not None else ''}\n    {json.dumps(name)}: {json.dumps(shard)}")
+                last = name
+            f.write("\n  }\n}" if last is not None else "}\n}")
+
     def abort(self, messages) -> None:
-        for m in messages:
-            if m is not None and os.path.exists(m.temporary):
-                os.remove(m.temporary)
+        for path in [m.temporary + end for m in messages if m is not None for end in ("", ".names")]:
+            if os.path.exists(path):
+                os.remove(path)
 
 
 class Safetensors(DataSource):
