@@ -6,6 +6,7 @@ import os
 import random
 import statistics
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -248,3 +249,10 @@ def test_shard_plan_under_two_limits_matches_a_plain_fold(spark):
         df = spark.createDataFrame(rows, "name string, bytes long, header long")
         for range_rows in (1000, 40, 7):
             assert sorted((r["name"] or "", r["shard"]) for r in catalog.shard_plan(df, most, range_rows, most_header).collect()) == expected
+
+
+def test_files_with_many_tensors_are_checked(spark, tmp_path):
+    part = spark.range(75_000).select((F.col("id") + 10**17).alias("p_partkey"), F.lit("b").alias("p_brand"), F.lit(1).alias("p_size"), F.lit(1.0).alias("p_retailprice"))
+    part.write.parquet(str(tmp_path / "part.parquet"))  # one header of all would have over 8 MiB
+    expected = duckdb.sql(extra.SQL["m_files"].replace("FROM part", f"FROM '{tmp_path}/part.parquet/*.parquet'")).fetchall()
+    assert [tuple(r) for r in extra.m_files(spark, str(tmp_path)).select("severity", "n", "elements").collect()] == expected == [("INFO", 75_000, float(sum(k % 7 + 1 for k in range(10**17, 10**17 + 75_000))))]
