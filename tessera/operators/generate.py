@@ -56,15 +56,15 @@ class ShiftRegister:
         return np.sqrt(-2 * np.log(u[:, 0::2])) * np.cos(2 * np.pi * u[:, 1::2])
 
 
-def chunk_table(tensors: DataFrame, chunk: int, model: str, version: str, seed: int) -> DataFrame:
-    """name, layer, chunk_id, start, n, seed (hex) for each chunk of tensors (name, layer, elements); without elements one empty chunk."""
+def chunk_table(tensors: DataFrame, chunk: int, model: str, version: str, seed: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """name, layer, chunk_id, start, n, seed (hex) and the columns ``keep`` for each chunk of tensors (name, layer, elements); without elements one empty chunk."""
     number = F.greatest(F.ceil(F.col("elements") / chunk), F.lit(1)).cast("bigint")
     tensor_seed = formats.derive_seed(F.lit(seed), F.lit(model), F.col("name"), F.col("layer"), F.lit(version))
     split = tensors.withColumn("_seed", tensor_seed).withColumn("chunk_id", F.explode(F.sequence(F.lit(0).cast("bigint"), number - 1)))
     start = F.col("chunk_id") * chunk
     return split.select(
         "name", "layer", "chunk_id", start.alias("start"), F.least(F.lit(chunk), F.col("elements") - start).cast("bigint").alias("n"),
-        formats.derive_secondary_seed(F.col("_seed"), F.lit("chunk"), F.col("chunk_id")).alias("seed"),
+        formats.derive_secondary_seed(F.col("_seed"), F.lit("chunk"), F.col("chunk_id")).alias("seed"), *keep,
     )
 
 
@@ -78,8 +78,8 @@ def _side_by_side(lengths: np.ndarray) -> Iterator[np.ndarray]:
         lo = hi
 
 
-def stream_arrays(chunks: DataFrame, kind: str = "normal", p1: float = 0.0, p2: float = 1.0) -> DataFrame:
-    """name, chunk_id, start, vals (one array a chunk); ``kind`` is normal (mean, std) or uniform (low, high).
+def stream_arrays(chunks: DataFrame, kind: str = "normal", p1: float = 0.0, p2: float = 1.0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """name, chunk_id, start, vals (one array a chunk) and the columns ``keep``; ``kind`` is normal (mean, std) or uniform (low, high).
 
     A step of the generator is a handful of array operations over all streams
     that advance together, so its cost is shared by thousands of short chunks.
@@ -95,9 +95,10 @@ def stream_arrays(chunks: DataFrame, kind: str = "normal", p1: float = 0.0, p2:
                 x = p1 + p2 * streams.normals(most) if kind == "normal" else p1 + (p2 - p1) * streams.uniforms(most)
                 flat = x[np.arange(most)[None] < n[:, None]]
                 vals = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*own.columns[:3], vals], ["name", "chunk_id", "start", "vals"])
+                yield pa.RecordBatch.from_arrays([*own.columns[:3], vals, *own.columns[5:]], ["name", "chunk_id", "start", "vals", *keep])
 
-    return chunks.select("name", "chunk_id", "start", "n", "seed").mapInArrow(make, "name string, chunk_id long, start long, vals array<double>")
+    kept = "".join(f", `{k}` {chunks.schema[k].dataType.simpleString()}" for k in keep)
+    return chunks.select("name", "chunk_id", "start", "n", "seed", *keep).mapInArrow(make, f"name string, chunk_id long, start long, vals array<double>{kept}")
 
 
 def stream_values(chunks: DataFrame, kind: str = "normal", p1: float = 0.0, p2: float = 1.0, tasks: int | None = None) -> DataFrame:

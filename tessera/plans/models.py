@@ -126,14 +126,18 @@ def compare_models(spark: SparkSession, original: str, compared: str, compat: bo
     return row.select(*keys, blocking.alias("blocking"), *compare.global_score({k: F.col(k) for k in keys}, blocking, compat))
 
 
-def tensor_payloads(spark: SparkSession, plan: DataFrame, seed: int, version: str = "v1", model: str = "model", chunk: int = 1 << 16) -> DataFrame:
-    """name, dtype, shape, chunk_id, payload of a catalogue filled with seeded normals of deviation 0.02; one row a chunk."""
+def tensor_payloads(spark: SparkSession, plan: DataFrame, seed: int, version: str = "v1", model: str = "model", chunk: int = 1 << 16, keep: tuple[str, ...] = ()) -> DataFrame:
+    """name, dtype, shape, chunk_id, payload and the columns ``keep`` of a catalogue filled with seeded normals of deviation 0.02; one row a chunk.
+
+    Chunks carry what their tensor's rows need, so values are encoded in the
+    task that makes them and never shuffled as doubles.
+    """
+    carried = ("dtype", "shape", *keep)
     sized = plan.withColumn("elements", dtypes.num_elements(F.col("shape")).cast("bigint"))
-    chunks = values_of.chunk_table(sized.select("name", "layer", "elements"), chunk, model, version, seed)
+    chunks = values_of.chunk_table(sized.select("name", "layer", "elements", *carried), chunk, model, version, seed, carried)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # as in stream_values: chunks grow into values
-    arrays = values_of.stream_arrays(chunks.repartition(tasks, "name", "chunk_id"), "normal", 0.0, 0.02)
-    joined = arrays.join(sized.select("name", "dtype", "shape"), "name")
-    return joined.select("name", "dtype", "shape", "chunk_id", numeric.encode_values(F.col("vals"), F.col("dtype")).alias("payload"))
+    arrays = values_of.stream_arrays(chunks.repartition(tasks, "name", "chunk_id"), "normal", 0.0, 0.02, carried)
+    return arrays.select("name", "dtype", "shape", "chunk_id", numeric.encode_values(F.col("vals"), F.col("dtype")).alias("payload"), *keep)
 
 
 def generate_model(spark: SparkSession, path: str, plan: DataFrame, seed: int, shard_bytes: int = 1 << 30, header_bytes: int = safetensors.MOST_HEADER) -> None:
@@ -143,7 +147,7 @@ def generate_model(spark: SparkSession, path: str, plan: DataFrame, seed: int, s
     sized = sized.withColumn("header", safetensors.entry_bytes(F.col("name"), F.col("dtype"), F.col("shape"), F.greatest("bytes", F.lit(shard_bytes))))
     placed = catalog.shard_plan(sized, shard_bytes, most_header=header_bytes - 8).select("name", F.col("shard").alias("_shard"))
     shards = placed.agg(F.max("_shard")).first()[0]
-    rows = tensor_payloads(spark, plan, seed).join(placed, "name").repartitionById(int(shards), (F.col("_shard") - 1).cast("int"))
+    rows = tensor_payloads(spark, plan.join(placed, "name"), seed, keep=("_shard",)).repartitionById(int(shards), (F.col("_shard") - 1).cast("int"))
     ordered = rows.sortWithinPartitions("name", "chunk_id").select("name", "dtype", "shape", "payload")
     ordered.write.format("safetensors").mode("overwrite").save(path)
 

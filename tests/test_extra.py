@@ -256,3 +256,14 @@ def test_files_with_many_tensors_are_checked(spark, tmp_path):
     part.write.parquet(str(tmp_path / "part.parquet"))  # one header of all would have over 8 MiB
     expected = duckdb.sql(extra.SQL["m_files"].replace("FROM part", f"FROM '{tmp_path}/part.parquet/*.parquet'")).fetchall()
     assert [tuple(r) for r in extra.m_files(spark, str(tmp_path)).select("severity", "n", "elements").collect()] == expected == [("INFO", 75_000, float(sum(k % 7 + 1 for k in range(10**17, 10**17 + 75_000))))]
+
+
+def test_values_are_encoded_where_they_are_made(spark):
+    plan = spark.createDataFrame([("a", 0, [70, 3], "F32", 2), ("b", 1, [9], "BF16", 1)], "name string, layer long, shape array<bigint>, dtype string, _shard int")
+    text = models.tensor_payloads(spark, plan, 3)._jdf.queryExecution().executedPlan().toString()
+    above = text[: text.index("MapInArrow")]
+    assert "Exchange" not in above and "Join" not in above  # a shuffle of doubles takes two to eight times the bytes of the payload
+    kept = models.tensor_payloads(spark, plan, 3, chunk=100, keep=("_shard",)).orderBy("name", "chunk_id").collect()
+    assert [(r["name"], r["dtype"], r["shape"], r["chunk_id"], len(r["payload"]), r["_shard"]) for r in kept] == [
+        ("a", "F32", [70, 3], 0, 400, 2), ("a", "F32", [70, 3], 1, 400, 2), ("a", "F32", [70, 3], 2, 40, 2), ("b", "BF16", [9], 0, 18, 1),
+    ]
