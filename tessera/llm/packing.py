@@ -39,10 +39,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.bpe import BatchBpe, shape_of
 from tessera.llm.runtime import bound_batches, materialise
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary, strung boolean"
 SECOND = 1 << 62  # added to the sequence ids of the second pass
+ROWS = 4096  # encoded at once
 LONGEST = 64  # bytes of a part that the word cache keeps
 
 
@@ -54,7 +56,8 @@ class WordCache(dict):
     apart) is encoded once and kept as little-endian 32-bit ids.  A comma or
     full stop after a letter is a pre-token of its own, so such a part is the
     ids without it and those of the sign.  Texts that might hold special tokens
-    go to the tokenizer whole.  Plain words go to its merge model directly if
+    go to the tokenizer whole.  ``encode_all`` merges most words of many texts
+    in arrays (``BatchBpe``), and only the other parts come here.  Plain words go to its merge model directly if
     that gives the same ids on some probe words.  Parts
     of at most ``LONGEST`` bytes are kept for two generations of ``most`` each:
     those not met for a whole generation go.
@@ -74,6 +77,8 @@ class WordCache(dict):
         self.shown_as = {b: chr(256 + i) for i, b in enumerate(hidden)} | {b: chr(b) for b in shown}
         self.model = tokenizer.model
         self.direct = all(self._word_ids(w.encode().lower()) == self._ids(w) for w in self.PROBES)
+        shape = shape_of(tokenizer)
+        self.arrays = None if shape is None else BatchBpe(shape, self.shown_as, self.__getitem__)
 
     def _word_ids(self, word: bytes) -> bytes:
         """Ids of a plain word straight from the merge model."""
@@ -97,16 +102,28 @@ class WordCache(dict):
             self[part] = ids
         return ids
 
-    def encode(self, text: bytes) -> bytes:
-        if b"<|" in text:
-            return self._ids(text.decode())
+    def _make_room(self) -> None:
         if len(self) > self.most:
             self.older = dict(self)
             self.clear()
             self[b""] = b""
+
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text, distinct words merged in arrays where the tokenizer allows it."""
+        if self.arrays is None:
+            return list(map(self.encode, texts))
+        self._make_room()
+        found = self.arrays.encode([b"" if b"<|" in t else t for t in texts])
+        return [self._ids(t.decode()) if b"<|" in t else ids for t, ids in zip(texts, found, strict=True)]
+
+    def encode(self, text: bytes) -> bytes:
+        if b"<|" in text:
+            return self._ids(text.decode())
+        self._make_room()
         return b"".join(map(self.__getitem__, text.lower().replace(b"\n", b" ").split(b" ")))
 
 
+EMPTY = -(1 << 40)  # a level without windows, which no cost can choose
 Piece = tuple[int | None, int, int, bytes]  # document, start, ids of the document, ids
 
 
@@ -116,27 +133,33 @@ class SumOfSquares:
     def __init__(self, seq_len: int) -> None:
         self.seq_len = seq_len
         self.counts = np.zeros(seq_len + 1, dtype=np.int64)
+        self.held = np.full(seq_len + 1, EMPTY)  # the counts, where there is a window
         self.windows: list[list[list[Piece]]] = [[] for _ in range(seq_len)]
         self.open = 0
 
     def level_for(self, size: int) -> int:
         """The level whose window takes ``size`` ids; 0 opens a window."""
-        counts, top = self.counts, self.seq_len
-        after = counts[size:].copy()  # counts at the level that level h would reach
-        cost = 2 * after + 1
-        cost[top - size] = 0  # a window that gets full leaves the array
-        before = counts[: top - size + 1]
-        cost = np.where(before > 0, cost - 2 * before + 1, np.iinfo(np.int64).max)
-        cost[0] = 2 * counts[size] + 1
-        best = len(cost) - 1 - int(np.argmin(cost[::-1]))  # a tie goes to the fuller window
-        return best
+        counts, most = self.counts, self.seq_len - size  # the most a window may hold already
+        # a level h up to here costs 2 * counts[h + size] + 1 - 2 * counts[h] + 1, always even; the others are odd
+        best, cost = 0, 2 * int(counts[size]) + 1
+        if most > 1:
+            change = counts[self.seq_len - 1 : size : -1] - self.held[most - 1 : 0 : -1]
+            fullest = int(change.argmin())  # a tie goes to the fuller window
+            if 2 * int(change[fullest]) + 2 < cost:
+                best, cost = most - 1 - fullest, 2 * int(change[fullest]) + 2
+        # a window that gets full leaves the array
+        return most if counts[most] and 1 - 2 * int(counts[most]) <= cost else best
+
+    def _count(self, level: int, by: int) -> None:
+        self.counts[level] += by
+        self.held[level] = self.counts[level] or EMPTY
 
     def place(self, pieces: list[Piece], size: int) -> Iterator[list[Piece]]:
         """Place what belongs together; gives the window if it is full now."""
         level = self.level_for(size)
         if level:
             window = self.windows[level].pop()
-            self.counts[level] -= 1
+            self._count(level, -1)
             self.open -= 1
             window += pieces
         else:
@@ -145,7 +168,7 @@ class SumOfSquares:
             yield window
             return
         self.windows[level + size].append(window)
-        self.counts[level + size] += 1
+        self._count(level + size, 1)
         self.open += 1
 
     def add(self, doc: int | None, ids: bytes) -> Iterator[list[Piece]]:
@@ -161,7 +184,7 @@ class SumOfSquares:
     def take_open(self) -> list[list[Piece]]:
         """All open windows, the fullest first; none is left."""
         found = [w for level in reversed(self.windows) for w in level]
-        self.counts[:] = 0
+        self.counts[:], self.held[:] = 0, EMPTY
         self.windows = [[] for _ in range(self.seq_len)]
         self.open = 0
         return found
@@ -228,10 +251,10 @@ def _first_pass(batches: Iterable[pa.RecordBatch], seq_len: int, end_id: int, pa
     end = np.array([end_id], dtype="<u4").tobytes()
     for batch in batches:
         ids_of, texts = batch.column(0), batch.column(1)
-        for lo in range(0, batch.num_rows, 256):
-            part = texts.slice(lo, 256).fill_null("").cast(pa.large_binary()).to_pylist()
-            for doc, text in zip(ids_of.slice(lo, 256).to_pylist(), part, strict=True):
-                for window in packer.add(doc, cache.encode(text) + end):
+        for lo in range(0, batch.num_rows, ROWS):
+            part = texts.slice(lo, ROWS).fill_null("").cast(pa.large_binary()).to_pylist()
+            for doc, found in zip(ids_of.slice(lo, ROWS).to_pylist(), cache.encode_all(part), strict=True):
+                for window in packer.add(doc, found + end):
                     out.add(window)
                 if packer.open > most_open:
                     for window in packer.take_open():

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tessera.llm import chat, decontam, embeddings, ftrl, line_dedup, minhash, packing, quality, runtime, secrets, sharding, toxicity
+from tessera.llm import bpe, chat, decontam, embeddings, ftrl, line_dedup, minhash, packing, quality, runtime, secrets, sharding, toxicity
 from tessera.llm.components import components, forest
 from tessera.llm.runtime import fresh_path
 
@@ -493,6 +494,34 @@ def test_packing_round_trip(spark, parts, most_open, second_ids):
         packing.pack(docs_of(spark, rows), seq_len=1000)
 
 
+def test_words_of_one_batch_are_merged_without_the_tokenizer(monkeypatch):
+    rng = random.Random(14)
+    texts = [" ".join("".join(rng.choices("abcdefghiéüñÉ", k=rng.randint(1, 20))) + rng.choice(["", ",", ".", "&&&", "7"]) for _ in range(400)) for _ in range(20)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    cache, calls = packing._worker_tokenizer(None), []
+    want = sum(len(cache.tokenizer.encode(t, add_special_tokens=False).ids) + 1 for t in texts)
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    for name in ("_ids", "_word_ids"):
+        monkeypatch.setattr(packing.WordCache, name, lambda self, part, real=getattr(packing.WordCache, name): calls.append(part) or real(self, part))
+    rows = [r for b in packing._first_pass([batch], 2048, 1, None, 4096) for r in b.to_pylist()]
+    assert sum(r["length"] for r in rows) == want and not calls
+
+
+@pytest.mark.parametrize("size", [2 << 20, 40])
+def test_words_merged_in_arrays_have_the_tokenizers_ids(monkeypatch, size):
+    monkeypatch.setattr(bpe, "SLICE", size)
+    rng = random.Random(15)
+    some = ["a", "b", "the", "tion", " ", " ", "\n", "'", "'s", "'re", "12", ",", ".", "&&&", "É", "é", "ß", "ÿ", "×", "÷", "\u0301", "\t", "\x1c", "\x7f", "\x00", "\x85", "日本", "Σ", "а", "😀", "_", "<", "|", "İ", "K", "\xa0", "½", "µ", "x" * 40, "!" * 33, "ab" * 16]
+    texts = ["", " ", "\n", "a", "'s", "<|endoftext|> a", "aaaa" * 8, "aaaa" * 8 + "a"] + ["".join(rng.choices(some, k=rng.randint(0, 30))) for _ in range(2000)]
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    other = Tokenizer.from_str(tokenizer.to_str().replace('{"type":"NFC"},', ""))  # another shape, which goes word by word
+    for tok, fits in ((tokenizer, True), (other, False)):
+        cache = packing.WordCache(tok)
+        assert (cache.arrays is not None) == fits
+        for text, ids in zip(texts, cache.encode_all([t.encode() for t in texts]), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, text
+
+
 def test_placement_minimises_squares():
     rng = random.Random(13)
     p = packing.SumOfSquares(64)
